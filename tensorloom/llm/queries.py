@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, sentencepieces
+from . import chat, language, licenses, mixing, quality_rules, sentencepieces
 from .common import table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return sentencepieces.digests(sentencepieces.encode_decode(docs, tokenizer_path("piece_bpe_32k.model")))
@@ -25,6 +29,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", extra), (-7, 1, "assistant", extra)], "conv_id long, turn long, role string, text string")
@@ -32,14 +40,88 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(rows))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_license_scan": op2_license_scan,
         "op3_sentencepiece": op3_sentencepiece,
         "op7_mixing": op7_mixing,
+        "op8_quality_rules": op8_quality_rules,
         "op9_chat_formatting": op9_chat_formatting,
+        "op10_language_id": op10_language_id,
     }
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _op2() -> str:
+    """Every segment against every template, without keys or size bounds."""
+    rows, _ = licenses.prepared(licenses.TEMPLATES, licenses.THRESHOLD)
+    values = ", ".join(f"('{name}', {no}, [{', '.join(repr(p) for p in pairs)}])" for name, no, pairs, _ in rows)
+    return rf"""
+WITH t(license, no, pairs) AS (VALUES {values}),
+lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents
+  UNION ALL SELECT doc_id, text, 0 FROM documents WHERE contains(text, chr(10))
+), w AS (SELECT doc_id, line, string_split(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM lines),
+b AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS own FROM w WHERE len(w) > 1),
+m AS (
+  SELECT doc_id, line, license, 2 * len(list_intersect(own, pairs)) / (len(own) + len(pairs)) AS dice FROM b, t
+), best AS (
+  SELECT doc_id, line, license, dice FROM m WHERE dice >= {licenses.THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) = 1
+)
+SELECT doc_id, license, max(dice) AS dice, count(*) AS n_segments FROM best GROUP BY ALL
+"""
+
+
+def _op8() -> str:
+    q = quality_rules
+    alpha = q.RISK / len(q.GRID)
+    cells = sum(map(len, q.GRID.values()))
+    grid = ", ".join(f"('{rule}', {i}, CAST({c} AS DOUBLE))" for rule, cuts in q.GRID.items() for i, c in enumerate(cuts))
+    bad = " OR ".join(f"coalesce({r} > cut_{r}, false)" for r in q.GRID)
+    picks = ", ".join(f"max(cut) FILTER (rule = '{r}') AS cut_{r}" for r in q.GRID)
+    return rf"""
+WITH w AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM documents
+), win AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c
+  FROM (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM w WHERE len(w) >= 8)
+), rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM win, range(0, 8) r(k) WHERE c > 1 GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, len(l) AS n_lines,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id
+), d AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbols_per_word,
+    n_dup_lines / greatest(n_lines, 1) AS dup_line_share, n_repeat_words / greatest(n_words, 1) AS repeat_word_share,
+    word_chars / greatest(n_words, 1) AS chars_per_word FROM m
+), good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(coalesce(quality, 0)) = 1),
+held AS (SELECT * FROM d WHERE doc_id IN (SELECT doc_id FROM good)),
+long AS (UNPIVOT (SELECT lang, {", ".join(q.GRID)} FROM held) ON {", ".join(q.GRID)} INTO NAME rule VALUE v),
+grid(rule, i, cut) AS (VALUES {grid}),
+k AS (SELECT lang, rule, i, cut, count(*) AS n, count(*) FILTER (v > cut) AS k FROM long JOIN grid USING (rule) GROUP BY ALL),
+p AS (
+  SELECT *, CASE WHEN k >= n * {alpha} THEN 1 ELSE (
+    SELECT sum(exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - lgamma(n - j + 1) + j * ln({alpha}) + (n - j) * ln(1 - {alpha})))
+    FROM unnest(range(0, k + 1)) u(j)) END AS p FROM k
+), ok AS (
+  SELECT *, bool_and(p <= {q.DELTA} / ({cells} * (SELECT count(DISTINCT coalesce(lang, '')) FROM held)))
+    OVER (PARTITION BY lang, rule ORDER BY i) AS fine FROM p
+), best AS (SELECT lang, rule, arg_max(cut, i) AS cut FROM ok WHERE fine GROUP BY ALL),
+cuts AS (SELECT lang AS stratum, {picks} FROM best GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({bad}) AS kept, {", ".join(q.GRID)}
+FROM d LEFT JOIN cuts ON lang IS NOT DISTINCT FROM stratum
+"""
+
+
 #: The template's marks: `<s>` once, then around each text; a backslash goes before each control string.
 _OP9 = r"""
 WITH c AS (
@@ -61,4 +143,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_formatting": _OP9}
+    return {"op2_license_scan": _op2(), "op8_quality_rules": _op8(), "op9_chat_formatting": _OP9}
