@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, language, licenses, mixing, quality_rules, sentencepieces
+from . import chat, language, licenses, mixing, neighbours, quality_rules, sentencepieces
 from .common import table
 
 
@@ -25,6 +26,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(sentencepieces.encode_decode(docs, tokenizer_path("piece_bpe_32k.model")))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -48,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_license_scan": op2_license_scan,
         "op3_sentencepiece": op3_sentencepiece,
+        "op6_nearest_neighbours": op6_nearest_neighbours,
         "op7_mixing": op7_mixing,
         "op8_quality_rules": op8_quality_rules,
         "op9_chat_formatting": op9_chat_formatting,
