@@ -169,7 +169,7 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         yield flushed(held)
 
     def flushed(held: dict[str, Counter]) -> pd.DataFrame:
-        return pd.DataFrame([(lang, w, n) for lang, c in held.items() for w, n in c.items()], columns=["lang", "word", "n"])
+        return pd.DataFrame([(lang, w, n) for lang, c in held.items() for w, n in c.items()], columns=["lang", "word", "n"], dtype=object).astype({"n": "int64"})
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
     return rows.mapInPandas(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -192,7 +192,7 @@ def learn(counts: DataFrame, model_path: str, iterations: int = ITERATIONS) -> t
                     total[lang] = total.get(lang, 0) + got
             for lang, got in total.items():
                 there = np.flatnonzero(got)
-                yield pd.DataFrame({"lang": lang, "piece": there, "n": got[there]})
+                yield pd.DataFrame({"lang": pd.Series([lang] * len(there), dtype=object), "piece": there, "n": got[there]})
 
         # rounded, so that the order of additions leaves no trace
         found = counts.mapInPandas(run, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.round(F.sum("n"), 3).alias("n")).toPandas()
