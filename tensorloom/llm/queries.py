@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, licenses, mixing, neighbours, perplexity, quality_rules, sentencepieces
+from . import chat, language, licenses, mixing, neighbours, ngram_join, perplexity, quality_rules, sentencepieces
 from .common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_license_scan": op2_license_scan,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_quality_classifier": op4_quality_classifier,
@@ -67,6 +72,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Every pair that shares a shingle, without prefixes; components by recursion over least ids.
+_OP1 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS s FROM w
+), t AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM s),
+n AS MATERIALIZED (SELECT doc_id, len(s) AS n FROM s),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)
+), both_ways AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(v, r) AS (SELECT x, x FROM both_ways UNION SELECT b.y, r FROM reach JOIN both_ways b ON b.x = v)
+SELECT n.doc_id, n.n AS n_shingles, coalesce((SELECT min(r) FROM reach WHERE v = n.doc_id), n.doc_id) AS component_id FROM n
+"""
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -155,4 +176,4 @@ FROM e GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": _op2(), "op8_quality_rules": _op8(), "op9_chat_formatting": _OP9}
+    return {"op1_ngram_jaccard_join": _OP1, "op2_license_scan": _op2(), "op8_quality_rules": _op8(), "op9_chat_formatting": _OP9}
