@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, licenses, mixing, neighbours, ngram_join, perplexity, quality_rules, sentencepieces
+from . import chat, language, licenses, mixing, neighbours, ngram_join, passages, perplexity, quality_rules, sentencepieces
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_license_scan": op2_license_scan,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_nearest_neighbours": op6_nearest_neighbours,
         "op7_mixing": op7_mixing,
         "op8_quality_rules": op8_quality_rules,
