@@ -21,7 +21,8 @@ Sets under one index key are not paired with each other.  The most central of th
 most frequent) is the pivot, and the others are compared with it, exactly.  Jaccard distance is a
 metric, so of those not linked to the pivot, only pairs whose distances from it differ by at most
 1 - t can be links; these are compared in blocks of bounded size that give back a spanning forest,
-not pairs.  Equal sets are one vertex from the start.
+not pairs.  Equal sets are one vertex from the start, and a key's sets are split where their sizes
+leave a gap that no link can cross.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from .components import components
 from .shingles import fingerprint, mixed, shingle_set
 
 #: Slots of the count sketch, and slots in a row of it.
-SLOTS, ROW_SLOTS = 1 << 21, 1 << 12
+SLOTS, ROW_SLOTS = 1 << 22, 1 << 12
 #: A token is frequent if its slot's count is above this many times the mean slot.
 FREQUENT = 8
 #: Sets with more single prefix tokens are indexed by single tokens only.
@@ -117,14 +118,14 @@ def index_keys(tokens: np.ndarray, counts: np.ndarray, limit: float, num: int, d
 
 
 def _keys(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """(key, v, central): index keys of every set; equal sets give equal rows."""
+    """(key, v, size, central): index keys of every set; equal sets give equal rows."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)  # SLOTS numbers
     limit = max(64.0, FREQUENT * float(sketch.mean()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in frames:
             for at in range(0, len(whole), ROWS):
-                keys, prints, central = [], [], []
+                keys, prints, sizes, central = [], [], [], []
                 for text in whole["text"].iloc[at : at + ROWS]:
                     s = shingle_set(text, n)
                     if not len(s):
@@ -132,12 +133,13 @@ def _keys(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray) -> Da
                     counts = sent.value[_slots(s)]
                     keys.append(index_keys(s, counts, limit, num, den))
                     prints.append(fingerprint(s))
+                    sizes.append(len(s))
                     central.append(float(np.log2(np.sort(counts)[: max(1, len(s) * (den - num) // den)]).mean()))
-                sizes = [len(k) for k in keys]
+                n_keys = [len(k) for k in keys]
                 if keys:
-                    yield pd.DataFrame({"key": np.concatenate(keys), "v": np.repeat(np.array(prints), sizes), "central": np.repeat(np.array(central, np.float32), sizes)})
+                    yield pd.DataFrame({"key": np.concatenate(keys), "v": np.repeat(np.array(prints), n_keys), "size": np.repeat(np.array(sizes, np.int32), n_keys), "central": np.repeat(np.array(central, np.float32), n_keys)})
 
-    return docs.select("text").mapInPandas(run, "key long, v long, central float")
+    return docs.select("text").mapInPandas(run, "key long, v long, size int, central float")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -150,12 +152,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"v": frame["v"], "tokens": [shingle_set(t, n).tobytes() for t in frame["text"]]})
 
-    # repeated ids may stand for several texts: only the wanted set stays
+    # repeated ids may stand for several texts: only the wanted set stays, repeated where its row is
     def right(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in run(frames):
             yield frame[[fingerprint(np.frombuffer(t, np.uint64)) == v for v, t in zip(frame["v"], frame["tokens"], strict=True)]]
 
-    return rows.select("v", "text").mapInPandas(right, "v long, tokens binary").dropDuplicates(["v"])
+    return rows.select("v", "text").mapInPandas(right, "v long, tokens binary")
 
 
 def _with_pivot(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,31 +192,59 @@ class Forest:
         return a != b
 
 
+class Block:
+    """Up to BLOCK sets, with an index of their tokens."""
+
+    def __init__(self) -> None:
+        self.names: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.index: tuple | None = None
+
+    def linked(self, s: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Places of the held sets that are linked with s."""
+        if self.index is None:
+            flat = np.concatenate(self.sets)
+            order = np.argsort(flat, kind="stable")
+            sizes = np.array([len(t) for t in self.sets])
+            self.index = flat[order], np.repeat(np.arange(len(sizes)), sizes)[order], sizes
+        tokens, owners, sizes = self.index
+        low = np.searchsorted(tokens, s)
+        n = np.searchsorted(tokens, s, "right") - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        shared = np.bincount(owners[at], minlength=len(sizes))
+        return np.flatnonzero(den * shared >= num * (sizes + len(s) - shared))
+
+
 def _blocks(frames: Iterator[pd.DataFrame], num: int, den: int) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (block pair, streamed): up to BLOCK sets are held, the others pass by; gives a spanning forest."""
-    key, held, index, forest = None, [], None, Forest()
+    """Rows sorted by (block pair, streamed): a block is held and the other passes by, or the held is compared with itself.
+
+    Gives a spanning forest of the links, never more edges than sets.
+    """
+    key, alone, block, forest = None, False, Block(), Forest()
+    out: list[tuple] = []
+
+    def meet(x: int, s: np.ndarray) -> None:
+        out.extend((block.names[j], x) for j in block.linked(s, num, den) if block.names[j] != x and forest.join(block.names[j], x))
+
+    def close() -> None:
+        for x, s in zip(block.names, block.sets, strict=True) if alone else ():
+            meet(x, s)
+
     for frame in frames:
-        out = []
-        for k, streamed, x, tokens in zip(frame["pair"], frame["streamed"], frame["x"], frame["tokens"], strict=True):
+        for k, own, streamed, x, tokens in zip(frame["pair"], frame["alone"], frame["streamed"], frame["x"], frame["tokens"], strict=True):
             s = np.frombuffer(tokens, np.uint64)
             if k != key:
-                key, held, index, forest = k, [], None, Forest()
-            if not streamed:
-                held.append((x, s))
-                continue
-            if index is None:
-                flat = np.concatenate([h[1] for h in held])
-                owner = np.repeat(np.arange(len(held)), [len(h[1]) for h in held])
-                order = np.argsort(flat, kind="stable")
-                index = flat[order], owner[order], np.array([len(h[1]) for h in held])
-            low, high = np.searchsorted(index[0], s), np.searchsorted(index[0], s, "right")
-            n = high - low
-            at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            shared = np.bincount(index[1][at], minlength=len(held))
-            for j in np.flatnonzero(den * shared >= num * (index[2] + len(s) - shared)):
-                if held[j][0] != x and forest.join(held[j][0], x):
-                    out.append((held[j][0], x))
+                close()
+                key, alone, block, forest = k, own, Block(), Forest()
+            if streamed:
+                meet(x, s)
+            else:
+                block.names.append(x)
+                block.sets.append(s)
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        out.clear()
+    close()
+    yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -229,24 +259,42 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     union = F.col("n_p") + F.col("n_x") - F.col("shared")
     compared = compared.withColumn("far", 1 - F.col("shared") / union).withColumn("linked", den * F.col("shared") >= num * union)
     star = compared.filter("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
-    # The rest: members not linked to their pivot, against all members at a like distance from it.
-    place = Window.partitionBy("p").orderBy("far", "x")
-    rest = compared.filter("not linked")
-    held = rest.withColumn("h", F.floor((F.row_number().over(place) - 1) / BLOCK)).select("p", "x", "far", "h")
-    passing = compared.join(rest.select("p").distinct(), "p", "left_semi").withColumn("s", F.floor((F.row_number().over(place) - 1) / BLOCK)).select("p", "x", "far", "s")
-    span = [F.min("far").alias("low"), F.max("far").alias("high")]
+    # The rest: members not linked to their pivot, against each other and against those linked, at a like distance from it.
+    place = Window.partitionBy("p", "linked").orderBy("far", "x")
+    open_ = compared.join(compared.filter("not linked").select("p").distinct(), "p", "left_semi")
+    blocks = open_.withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK)).select("p", "x", "far", "linked", "block")
+    spans = blocks.groupBy("p", "linked", "block").agg(F.min("far").alias("low"), F.max("far").alias("high"), F.count("*").alias("size"))
     reach = (den - num) / den + 1e-9
-    h, s = held.groupBy("p", "h").agg(*span), passing.groupBy("p", "s").agg(*span, F.count("*").alias("size"))
-    near = h.alias("h").join(s.alias("s"), (F.col("h.p") == F.col("s.p")) & (F.col("s.low") <= F.col("h.high") + reach) & (F.col("h.low") <= F.col("s.high") + reach))
-    # a group with a single member has nothing else to compare
-    near = cut(near.select(F.col("h.p").alias("p"), "h", "s", F.xxhash64(F.col("h.p"), "h", "s").alias("pair")))
-    left = held.join(near, ["p", "h"]).select("pair", F.lit(False).alias("streamed"), "x")
-    right = passing.join(near, ["p", "s"]).select("pair", F.lit(True).alias("streamed"), "x")
+    h, s = spans.filter("not linked").alias("h"), spans.alias("s")
+    alike = (F.col("s.low") <= F.col("h.high") + reach) & (F.col("h.low") <= F.col("s.high") + reach)
+    once = F.col("s.linked") | (F.col("s.block") >= F.col("h.block"))
+    alone = ~F.col("s.linked") & (F.col("s.block") == F.col("h.block"))
+    near = h.join(s, (F.col("h.p") == F.col("s.p")) & alike & once).filter(~alone | (F.col("h.size") > 1))
+    names = [F.col("h.p").alias("p"), F.col("h.block").alias("h"), F.col("s.linked").alias("linked"), F.col("s.block").alias("s"), alone.alias("alone")]
+    near = cut(near.select(*names, F.xxhash64(F.col("h.p"), F.col("h.block"), F.col("s.linked"), F.col("s.block")).alias("pair")))
+    left = blocks.filter("not linked").withColumnRenamed("block", "h").drop("linked").join(near, ["p", "h"]).select("pair", "alone", F.lit(False).alias("streamed"), "x")
+    right = blocks.withColumnRenamed("block", "s").join(near.filter("not alone"), ["p", "linked", "s"]).select("pair", "alone", F.lit(True).alias("streamed"), "x")
     both = left.unionByName(right).join(sets.withColumnRenamed("v", "x"), "x").repartition("pair").sortWithinPartitions("pair", "streamed", "x")
-    found = both.select("pair", "streamed", "x", "tokens").mapInPandas(lambda f: _blocks(f, num, den), "a long, b long")
+    found = both.select("pair", "alone", "streamed", "x", "tokens").mapInPandas(lambda f: _blocks(f, num, den), "a long, b long")
     return star.unionByName(found)
 
 
+def _groups(keys: DataFrame, num: int, den: int) -> DataFrame:
+    """(p, x): pivots and the sets to be compared with them.
+
+    Sets under a key are sorted by size; where the next is larger by more than the similarity allows,
+    no link crosses, and the group is split.  Most keys have one set and end here.
+    """
+    by_size = Window.partitionBy("key").orderBy("size", "v")
+    fits_last = F.coalesce(F.lag("size").over(by_size) * den >= F.col("size") * num, F.lit(False))
+    fits_next = F.coalesce(F.col("size") * den >= F.lead("size").over(by_size) * num, F.lit(False))
+    split = keys.withColumn("fits_last", fits_last).withColumn("fits_next", fits_next)
+    split = split.withColumn("part", F.sum((~F.col("fits_last")).cast("int")).over(by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    several = split.filter("fits_last or fits_next").select("key", "part", "v", "central")
+    first = Window.partitionBy("key", "part").orderBy(F.desc("central"), "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return several.withColumn("p", F.first("v").over(first)).filter("p != v").select("p", F.col("v").alias("x")).distinct()
+
+
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents linked by den * |intersection| >= num * |union| of their n-word shingle sets.
 
@@ -262,9 +310,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     sets_of = scanned.filter("kind = 0").select("id", "n", F.col("print").alias("v"))
     sketch = _sketch(scanned.filter("kind = 1"))
     keys = _keys(rows, n, num, den, sketch)
-    first = Window.partitionBy("key").orderBy(F.desc("central"), "v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pairs = keys.withColumn("p", F.first("v").over(first)).filter("p != v").select("p", F.col("v").alias("x")).distinct()
-    pairs = written(pairs)
+    pairs = written(_groups(keys, num, den))
     needed = pairs.select(F.col("p").alias("v")).unionByName(pairs.select(F.col("x").alias("v"))).distinct()
     wanted = sets_of.join(needed, "v", "left_semi").groupBy("v").agg(F.min("id").alias("id")).dropna()
     links = written(_links(pairs, written(_sets(rows, wanted, n)), num, den))
