@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, sized
 
 #: Documents rounded together, on average.
 BLOCK = 4096
@@ -168,5 +168,5 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     copies = mix(docs, id_col=id_col, **options).select(F.col(id_col).alias("_mix_id"), F.col("copies").alias("_mix_copies"))
     # Rows with equal ids are one key with their rounded copies shared; ids are unique in the tables given.
     copies = copies.filter("_mix_copies > 0").groupBy("_mix_id").agg(F.max("_mix_copies").alias("_mix_copies"))
-    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_mix_id")))
+    joined = docs.join(sized(copies), F.col(id_col).eqNullSafe(F.col("_mix_id")))
     return joined.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, sized, written
 from .components import components
 from .shingles import fingerprint, mixed, shingle_set
 
@@ -144,9 +144,7 @@ def _keys(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray) -> Da
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(v, tokens) of the wanted vertices; ``wanted`` has (v, id)."""
-    wanted = cut(wanted)
-    few = wanted.count() <= BROADCAST_IDS
-    rows = docs.join(F.broadcast(wanted) if few else wanted, "id")
+    rows = docs.join(sized(wanted, BROADCAST_IDS), "id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -331,7 +329,7 @@ def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     """
     found = join(docs, n, num, den, id_col, text_col)
     later = found.filter((F.col("component_id") != F.col(id_col)) & F.col("n_shingles").isNotNull()).select(F.col(id_col).alias("_later")).distinct()
-    kept = docs.join(later, F.col(id_col) == F.col("_later"), "left_anti")
+    kept = docs.join(sized(later), F.col(id_col) == F.col("_later"), "left_anti")
     ids = found.filter((F.col("n_shingles") > 0) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("c")).filter("c > 1")
     if ids.isEmpty():
         return kept

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, written
+from .common import cut, sized, written
 
 ORDER = 4
 #: Weights sent to tasks, at most: 16 bytes each there, about four times that while they are built.
@@ -301,6 +301,6 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that :func:`classify` keeps, with all their columns."""
-    bad = classify(docs, labels, id_col, **options).filter("not kept").select(F.col(id_col).alias("_bad"))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    """The documents that :func:`classify` keeps, with all their columns; rows without an id stay."""
+    bad = classify(docs, labels, id_col, **options).filter("not kept").select(F.col(id_col).alias("_bad")).dropna().distinct()
+    return docs.join(sized(bad), F.col(id_col) == F.col("_bad"), "left_anti")

@@ -244,10 +244,11 @@ def _lists(rows: list, sizes: list[int]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat, pa.int32()))
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and SHA-256 digests of what :func:`encode_decode` returns."""
+def digests(encoded: DataFrame, id_col: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """Counts and SHA-256 digests of what :func:`encode_decode` returns, and the columns ``also``."""
     return encoded.select(
         id_col,
+        *also,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
