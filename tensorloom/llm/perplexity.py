@@ -16,7 +16,7 @@ Scoring is thus a join of documents' n-gram counts with the weights.  Where the
 documents' n-grams are shuffled to the shards of the weights.  Both give the same sums.
 
 A document is rejected if its perplexity is above its language's quantile, taken over trusted
-documents that the model hasn't seen.
+documents that the model hasn't seen, and a slack.
 """
 
 from __future__ import annotations
@@ -39,6 +39,9 @@ BROADCAST_ROWS = 2_000_000
 #: Trusted documents with crc32(id) mod FOLDS = 0 set the thresholds, the others train.
 FOLDS = 5
 QUANTILE = 0.995
+#: Log-perplexity allowed above the quantile, and more where few documents set it (divided by their number's root):
+#: a rare style isn't bad text, and the quantile of a few documents is too low.
+SLACK, SLACK_FEW = 0.2, 0.5
 #: A short text's mean is drawn to its language's by as many characters; else thresholds would be those of short texts.
 PRIOR_CHARS = 200
 #: Resolution of the log-perplexity in which quantiles are counted.
@@ -288,10 +291,11 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     bins = with_mean(held).groupBy("lang", "bin").agg(F.count("*").alias("n"))  # bounded: bins per language
     upto, every = Window.partitionBy("lang").orderBy("bin"), Window.partitionBy("lang")
     limit = (
-        bins.withColumn("share", F.sum("n").over(upto) / F.sum("n").over(every))
+        bins.withColumn("all", F.sum("n").over(every))
+        .withColumn("share", F.sum("n").over(upto) / F.col("all"))
         .filter(F.col("share") >= quantile)
         .groupBy(F.col("lang").alias("_lang"))
-        .agg(F.min("bin").alias("limit"))
+        .agg((F.min("bin") + F.ceil((SLACK + SLACK_FEW / F.sqrt(F.max("all"))) / BIN)).alias("limit"))
     )
     out = with_mean(scored).join(limit, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     return out.select(
