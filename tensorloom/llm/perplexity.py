@@ -273,7 +273,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     fold = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS, F.lit(0))
     trusted = labels.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("q"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("t")).filter("q = 1 and t = 0").select("_id")
-    trusted = cut(trusted)
+    trusted = sized(trusted)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), fold.alias("fold"))
     training = rows.filter("fold != 0").join(trusted, "_id", "left_semi")
     counts = written(ngram_counts(training, order))
