@@ -59,6 +59,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), shar
     return level.select("source", "source_size", F.when(F.col("full"), F.col("limit")).otherwise(water * F.col("weight")).alias("target"))
 
 
+def _exact_sum(x: Column) -> Column:
+    """A sum that doesn't depend on the order of its terms, so that reruns agree."""
+    return F.sum(x.cast("decimal(28,6)")).cast("double")
+
+
 def tilts(histogram: DataFrame, aims: DataFrame, cap: float = 2.0) -> DataFrame:
     """(source, tilt, scale) by Newton iterations on (source, size, n) and (source, target).
 
@@ -86,7 +91,7 @@ def tilts(histogram: DataFrame, aims: DataFrame, cap: float = 2.0) -> DataFrame:
         sums = (
             histogram.join(open_, F.col("source").eqNullSafe(F.col("s")))
             .groupBy(F.col("s"))
-            .agg(F.sum(F.col("n") * F.col("size") * rate).alias("got"), F.sum(F.col("n") * F.col("size") * z * rate * (1 - rate / cap)).alias("slope"))
+            .agg(_exact_sum(F.col("n") * F.col("size") * rate).alias("got"), _exact_sum(F.col("n") * F.col("size") * z * rate * (1 - rate / cap)).alias("slope"))
         )
         joined = state.join(sums, F.col("source").eqNullSafe(F.col("s")), "left")
         short = F.col("target") - F.col("got")

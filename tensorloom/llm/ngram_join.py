@@ -104,7 +104,8 @@ def index_keys(tokens: np.ndarray, counts: np.ndarray, limit: float, num: int, d
     missing = n - -(-num * n // den)
     largest = PAIR_PREFIX * den // (den - num)  # size up to which pairs are used
     parts = []
-    if n > num * largest // den:
+    # by single tokens: sets near or above that size, and those so small that two shared tokens aren't certain, or their partners
+    if n > num * largest // den or n * num * num <= den * den:
         parts.append(mixed(tokens[: missing + 1]))
     if n <= largest:
         rare = int(np.searchsorted(counts, limit, "right"))

@@ -134,7 +134,9 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, float]
         d1, d2, d3 = (min(max(i - (i + 1) * y * t[i] / t[i - 1], 0.05), i) if t[i - 1] else 0.5 * i for i in (1, 2, 3))
         level = level.withColumns({"h": F.expr(f"substring(g, 1, {n - 1})"), "d1": F.lit(d1), "d2": F.lit(d2), "d3": F.lit(d3)})
         # a context's characters are bounded by the alphabet; its sums are combined in tasks first
-        context = level.groupBy("h").agg(F.sum("a").alias("total"), F.sum(_discount("a")).alias("off")).withColumn("backoff", F.col("off") / F.col("total"))
+        kinds_of = [F.sum((F.col("a") == i).cast("long") if i < 3 else (F.col("a") >= 3).cast("long")) for i in (1, 2, 3)]
+        off = sum(d * k for d, k in zip((d1, d2, d3), kinds_of, strict=True))  # whole numbers are summed, so reruns agree
+        context = level.groupBy("h").agg(F.sum("a").alias("total"), off.alias("off")).withColumn("backoff", F.col("off") / F.col("total"))
         context = written(context.select("h", "total", "backoff"))
         if n == 1:
             row = context.first()
@@ -280,7 +282,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     weights, unknown = kneser_ney(counts, order)
     scored = written(score(rows, weights, unknown, ["_id", "lang", "fold"], order, broadcast_rows))
     held = scored.filter("fold = 0").join(trusted, "_id", "left_semi")
-    mean = held.groupBy("lang").agg((-F.sum("logp") / F.sum("n_chars")).alias("mean"))
+    mean = held.groupBy("lang").agg((-F.sum(F.col("logp").cast("decimal(28,6)")).cast("double") / F.sum("n_chars")).alias("mean"))
     mean = cut(mean)  # a row per language
     drawn = (-F.col("logp") + PRIOR_CHARS * F.col("mean")) / (F.col("n_chars") + PRIOR_CHARS)
 
