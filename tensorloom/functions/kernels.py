@@ -101,19 +101,19 @@ KERNELS = {
 
 @pandas_udf(ArrayType(FloatType()))
 def _dequantize(dtype: pd.Series, data: pd.Series) -> pd.Series:
-    out = pd.Series([None] * len(data), dtype=object)
-    for name, rows in data.groupby(dtype).groups.items():
-        if name not in KERNELS:
-            continue
+    out: list = [None] * len(data)
+    blobs_of = data.tolist()
+    for name in set(dtype) & set(KERNELS):
+        rows = [i for i, d in enumerate(dtype) if d == name]
         size, kernel = KERNELS[name]
-        blobs = [data[i] for i in rows]
+        blobs = [blobs_of[i] for i in rows]
         whole = [len(x or b"") // size for x in blobs]  # a rest that isn't a block is dropped
         flat = np.frombuffer(b"".join((x or b"")[: n * size] for x, n in zip(blobs, whole, strict=True)), np.uint8).reshape(-1, size)
         with np.errstate(all="ignore"):  # scales may be infinite or NaN
             values = kernel(flat) if len(flat) else np.zeros((0, 1), np.float32)
         for i, x, part in zip(rows, blobs, np.split(values, np.cumsum(whole)[:-1]), strict=True):
             out[i] = None if x is None else part.reshape(-1)
-    return out
+    return pd.Series(out, dtype=object)
 
 
 def dequantize(dtype: Column, data: Column) -> Column:
