@@ -136,7 +136,7 @@ GOLDEN = {
 def test_routes(spark):
     got = {(r.source, r.target): (r.cost, ">".join(r.path)) for r in routes.routes(routes.edges(spark)).collect()}
     assert {k: got[k] for k in GOLDEN} == GOLDEN
-    assert ("CoreML", "GGUF") not in got and len([k for k in got if k[0] != k[1]]) == 86
+    assert ("CoreML", "GGUF") not in got and len([k for k in got if k[0] != k[1]]) == 85
 
 
 def test_safetensors(spark):
