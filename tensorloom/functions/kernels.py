@@ -80,6 +80,27 @@ def q6_k(b: np.ndarray) -> np.ndarray:
     return _half(b, 208) * scale * (low + 16 * high - 32)
 
 
+def q3_k(b: np.ndarray) -> np.ndarray:
+    """Eight groups of 32: two low bits from qs, the third from hmask; a group's signed scale has four bits of one byte and two of another."""
+    s = b[:, 96:108]
+    low = s[:, :8] & 15
+    high = np.concatenate([s[:, 8:12] & 3, s[:, 8:12] >> 2 & 3], axis=1)
+    scale = (low | high << 6).view(np.int8).astype(np.float32)
+    two = np.stack([b[:, 32:96] >> k & 3 for k in (0, 2, 4, 6)], axis=2).reshape(len(b), 256)
+    third = np.unpackbits(b[:, :32], axis=1, bitorder="little")
+    return _half(b, 108) * scale.repeat(32, axis=1) * (two.astype(np.float32) + 4 * third - 4)
+
+
+def q5_k(b: np.ndarray) -> np.ndarray:
+    """As q4_k with a fifth bit: group g takes it from four bytes of qh, at bit (place + g) mod 8."""
+    scale, low = _six_bits(b[:, 4:16])
+    q = b[:, 48:176].reshape(len(b), 8, 16)
+    four = np.concatenate([q & 15, q >> 4], axis=2)
+    g, j = np.arange(8)[:, None], np.arange(32)[None, :]
+    fifth = b[:, 16 + 4 * (g // 4) + j // 8] >> (g % 4 + j % 8 & 7).astype(np.uint8) & 1
+    return ((_half(b, 0) * scale)[..., None] * (four + 16.0 * fifth).astype(np.float32) - (_half(b, 2) * low)[..., None]).reshape(len(b), 256)
+
+
 def half(b: np.ndarray) -> np.ndarray:
     return b.copy().view("<f2").astype(np.float32)
 
@@ -95,7 +116,7 @@ def single(b: np.ndarray) -> np.ndarray:
 #: Type -> bytes of a block, kernel.
 KERNELS = {
     "F32": (4, single), "F16": (2, half), "BF16": (2, bfloat), "Q4_0": (18, q4_0), "Q4_1": (20, q4_1), "Q5_0": (22, q5_0), "Q5_1": (24, q5_1), "Q8_0": (34, q8_0),
-    "Q2_K": (84, q2_k), "Q4_K_S": (144, q4_k), "Q4_K_M": (144, q4_k), "Q6_K": (210, q6_k), "Q8_K": (292, q8_k),
+    "Q2_K": (84, q2_k), "Q3_K_S": (110, q3_k), "Q3_K_M": (110, q3_k), "Q3_K_L": (110, q3_k), "Q5_K_S": (176, q5_k), "Q5_K_M": (176, q5_k), "Q4_K_S": (144, q4_k), "Q4_K_M": (144, q4_k), "Q6_K": (210, q6_k), "Q8_K": (292, q8_k),
 }
 
 

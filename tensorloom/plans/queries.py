@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tensorloom.functions import dtypes, kernels, names, ops
+from tensorloom.functions import canonical, dtypes, kernels, names, ops
 from tensorloom.operators import detect, inspect, jobs, lora, provenance, routes, validate
 from tensorloom.plans import derived
 from tensorloom.plans.derived import table
 from tensorloom.plans.oracles import oracle_sql as oracle_sql
-from tensorloom.sources import gguf, safetensors
+from tensorloom.sources import gguf, safetensors, sidecars
 from tensorloom.streaming import progress
 
 
@@ -243,11 +243,32 @@ def conversion_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("dtype").agg(F.count("*").alias("n")).select("dtype", "n", dtypes.bit_width(d).alias("bits"), dtypes.requantization(d).alias("policy"), dtypes.lossless_upcast(d, F.lit("F32")).alias("lossless"), dtypes.is_quantized(d).alias("quantized"))
 
 
+def canonical_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names' bytes as 4-bit and 8-bit groups."""
+    data = F.encode(F.col("p_name"), "UTF-8")
+    scales, zeros = F.array(F.lit(0.5), F.lit(0.25)), F.array(F.lit(8.0))
+    rows = table(spark, sf_dir, "part").select("p_partkey", canonical.dequantize(data, 4, "block", 16, scales, zeros).alias("four"), canonical.dequantize(data, 8, "sequential", 8, scales, zeros).alias("eight"))
+
+    def total(c: str) -> Column:
+        return F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+
+    return rows.select("p_partkey", F.size("four").cast("long").alias("n"), total("four").alias("four"), total("eight").alias("eight"))
+
+
+def sidecar_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Adapter and quantization settings out of JSON whose keys differ."""
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey")
+    config = F.when(key % 3 == 0, F.concat(F.lit('{"w_bit":'), size, F.lit(',"q_group_size":64,"r":'), size, F.lit(',"lora_alpha":2.5}'))).when(key % 3 == 1, F.concat(F.lit('{"bits":'), size, F.lit(',"rank":4,"target_modules":["q","v"],"peft_type":"X"}'))).otherwise("{}")
+    p = table(spark, sf_dir, "part").select("p_partkey", config.alias("config"))
+    out = sidecars.lora(sidecars.awq(p))
+    return out.select("p_partkey", "scheme", "bits", "group_size", "rank", "alpha", F.size("target_modules").alias("modules"), "adapter_type")
+
+
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     detection, route_planning, api_edges, model_summary, first_tensors, architecture, typed_metadata, shared_tensors, structural_validation, numeric_validation, certificates,
     lora_pairs, lora_merge, metadata_upserts, provenance_chain, job_pages, job_cancellation, job_states, token_validity, users_with_jobs, orphan_events, job_history,
     progress_states, progress_by_minute, elementwise_ops, row_ops, reductions, top_elements, matmul, safetensors_round_trip, gguf_round_trip, file_hashes, file_xxh64,
-    dequantized, row_sizes, adapter_inspection, running_offsets, conversion_policy,
+    dequantized, row_sizes, adapter_inspection, running_offsets, conversion_policy, canonical_groups, sidecar_configs,
 ]
 
 
