@@ -18,16 +18,21 @@ The counts are those of a fixed number of slots that tokens hash to, summed over
 bound is all that the order needs, for any order gives the same result.
 
 Sets under one index key are not paired with each other.  The most central of them (whose prefix is
-most frequent) is the pivot, and the others are compared with it, exactly.  Jaccard distance is a
-metric, so of those not linked to the pivot, only pairs whose distances from it differ by at most
-1 - t can be links; these are compared in blocks of bounded size that give back a spanning forest,
-not pairs.  Equal sets are one vertex from the start, and a key's sets are split where their sizes
-leave a gap that no link can cross.
+most frequent) is the pivot, and the others are compared with it.  Jaccard distance is a metric, so
+of those not linked to the pivot, only pairs whose distances from it differ by at most 1 - t can be
+links; these are compared in blocks of bounded size that give back a spanning forest, not pairs.
+Equal sets are one vertex from the start, and a key's sets are split where their sizes leave a gap
+that no link can cross.
+
+Both comparisons go by bitmaps first: a set's bitmap has the parity of its tokens in each of about n
+slots, so two sets differ in at least as many tokens as their bitmaps differ in bits.  That is a
+proof that most candidates aren't links, at a sixtieth of a set's size; only where it doesn't
+decide are the sets themselves compared.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,6 +56,27 @@ BROADCAST_IDS = 2_000_000
 ROWS = 512
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """Parities of a set's tokens in a power of two of slots, no fewer than tokens."""
+    slots = max(64, 1 << (len(tokens) - 1).bit_length())
+    count = np.bincount((mixed(tokens) & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+    return np.packbits((count & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (last axis) of fewer slots: those that a smaller set of slots would have given."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Tokens that two sets differ in, at least."""
+    size = min(a.shape[-1], b.shape[-1])
+    return np.bitwise_count(folded(a, size) ^ folded(b, size)).sum(axis=-1, dtype=np.int64)
+
+
 def _slots(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
@@ -65,13 +91,13 @@ def _scanned(docs: DataFrame, n: int) -> DataFrame:
             for s in sets:
                 np.add.at(counts, _slots(s), 1)
             prints = pd.array([fingerprint(s) if len(s) else None for s in sets], dtype="Int64")
-            yield pd.DataFrame({"kind": 0, "id": frame["id"], "n": [len(s) for s in sets], "print": prints, "counts": None})
+            yield pd.DataFrame({"kind": 0, "id": frame["id"], "n": [len(s) for s in sets], "print": prints, "bits": [bitmap(s) if len(s) else None for s in sets], "counts": None})
         at = np.flatnonzero(counts.reshape(-1, ROW_SLOTS).any(axis=1))
         for lot in range(0, len(at), 64):
             part = at[lot : lot + 64]
-            yield pd.DataFrame({"kind": 1, "id": part, "n": 0, "print": pd.array([None] * len(part), dtype="Int64"), "counts": [counts[i * ROW_SLOTS : (i + 1) * ROW_SLOTS].tobytes() for i in part]})
+            yield pd.DataFrame({"kind": 1, "id": part, "n": 0, "print": pd.array([None] * len(part), dtype="Int64"), "bits": None, "counts": [counts[i * ROW_SLOTS : (i + 1) * ROW_SLOTS].tobytes() for i in part]})
 
-    return docs.mapInPandas(run, "kind int, id long, n long, print long, counts binary")
+    return docs.mapInPandas(run, "kind int, id long, n long, print long, bits binary, counts binary")
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -159,6 +185,21 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return rows.select("v", "text").mapInPandas(right, "v long, tokens binary")
 
 
+def _bounded(frames: Iterator[pd.DataFrame], num: int, den: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (p, part, member), bitmaps for sets: the least distance from the pivot, and whether a link is possible."""
+    n_p, pivot = 0, None
+    for frame in frames:
+        out = []
+        for p, member, x, n, bits in zip(frame["p"], frame["member"], frame["x"], frame["n"], frame["bits"], strict=True):
+            b = np.frombuffer(bits, np.uint8)
+            if not member:
+                n_p, pivot = n, b
+            else:
+                apart, both = max(int(differing(pivot, b)), abs(n_p - n)), n_p + n
+                out.append((p, x, 2 * apart / (both + apart), den * (both - apart) >= num * (both + apart)))
+        yield pd.DataFrame(out, columns=["p", "x", "far", "maybe"])
+
+
 def _with_pivot(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows sorted by (p, part, member): the pivot's set first, then members; one set is held."""
     pivot = None
@@ -191,6 +232,52 @@ class Forest:
         return a != b
 
 
+def partners(n: np.ndarray, bits: list[np.ndarray], m: np.ndarray, other: list[np.ndarray], same: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets of two blocks may be linked with some set of the other, by size and bitmap."""
+    left, right = np.zeros(len(n), bool), np.zeros(len(m), bool)
+    widths, by = np.array([len(b) for b in other]), {}
+    for w in np.unique(widths):
+        rows = np.flatnonzero(widths == w)
+        by[w] = rows, np.stack([other[i] for i in rows])
+    for i, b in enumerate(bits):
+        for w, (rows, stack) in by.items():
+            if not len(b) // 2 <= w <= 2 * len(b) and num * 2 >= den:  # sizes more than twice apart
+                continue
+            apart = np.maximum(differing(np.broadcast_to(b, (1, len(b))), stack), np.abs(m[rows] - n[i]))
+            both = m[rows] + n[i]
+            hit = den * (both - apart) >= num * (both + apart)
+            if same:
+                hit &= rows != i
+            left[i] |= hit.any()
+            right[rows[hit]] = True
+    return left, right
+
+
+def _candidates(frames: Iterator[pd.DataFrame], num: int, den: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by block pair, bitmaps for sets: the members of both blocks that may have a link across; up to 2 * BLOCK are held."""
+    key, sides, alone = None, ([], []), False
+
+    def close() -> pd.DataFrame:
+        held, passing = sides
+        if alone:
+            passing = held
+        if not held or not passing:
+            return pd.DataFrame({"pair": [], "alone": [], "streamed": [], "x": []}).astype({"pair": "int64", "alone": bool, "streamed": bool, "x": "int64"})
+        n, m = (np.array([r[1] for r in side], np.int64) for side in (held, passing))
+        left, right = partners(n, [r[2] for r in held], m, [r[2] for r in passing], alone, num, den)
+        rows = [(key, alone, False, held[i][0]) for i in np.flatnonzero(left)]
+        rows += [] if alone else [(key, alone, True, passing[i][0]) for i in np.flatnonzero(right)]
+        return pd.DataFrame(rows, columns=["pair", "alone", "streamed", "x"])
+
+    for frame in frames:
+        for k, own, streamed, x, n, bits in zip(frame["pair"], frame["alone"], frame["streamed"], frame["x"], frame["n"], frame["bits"], strict=True):
+            if k != key:
+                yield close()
+                key, sides, alone = k, ([], []), own
+            sides[streamed].append((x, n, np.frombuffer(bits, np.uint8)))
+    yield close()
+
+
 class Block:
     """Up to BLOCK sets, with an index of their tokens."""
 
@@ -246,23 +333,37 @@ def _blocks(frames: Iterator[pd.DataFrame], num: int, den: int) -> Iterator[pd.D
     yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): enough links between the members of every pivot's group to connect what is connected."""
-    sizes = pairs.groupBy("p").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts"))
-    # a large group is dealt over several tasks, each with its pivot's set
-    members = pairs.join(sizes, "p").select("p", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), "x")
-    pivots = sizes.select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.col("p").alias("x"))
-    rows = members.unionByName(pivots).join(sets.withColumnRenamed("v", "x"), "x")
-    rows = rows.repartition("p", "part").sortWithinPartitions("p", "part", "member", "x").select("p", "member", "x", "tokens")
-    compared = written(rows.mapInPandas(_with_pivot, "p long, x long, n_p long, n_x long, shared long"))
+def _beside_pivot(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Rows (p, member, x, values...) sorted so that a pivot comes before its members; ``values`` has x and is joined to both.
+
+    A large group is dealt over several tasks, each with the pivot's row.
+    """
+    parts = pairs.groupBy("p").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("parts"))
+    members = pairs.join(parts, "p").select("p", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"), "x")
+    pivots = parts.select("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), F.col("p").alias("x"))
+    rows = members.unionByName(pivots).join(values, "x")
+    return rows.repartition("p", "part").sortWithinPartitions("p", "part", "member", "x")
+
+
+def _links(pairs: DataFrame, bits: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int) -> DataFrame:
+    """(a, b): enough links between the members of every pivot's group to connect what is connected.
+
+    ``bits`` has (x, n, bits) of every vertex, ``sets_of`` gives (x, tokens) of the vertices (v) asked for.
+    """
+    bounds = written(_beside_pivot(pairs, bits).select("p", "member", "x", "n", "bits").mapInPandas(lambda f: _bounded(f, num, den), "p long, x long, far double, maybe boolean"))
+    maybe = bounds.filter("maybe").select("p", "x")
+    near = maybe.select(F.col("p").alias("v")).unionByName(maybe.select(F.col("x").alias("v"))).distinct()
+    exact = _beside_pivot(maybe, sets_of(near)).select("p", "member", "x", "tokens").mapInPandas(_with_pivot, "p long, x long, n_p long, n_x long, shared long")
     union = F.col("n_p") + F.col("n_x") - F.col("shared")
-    compared = compared.withColumn("far", 1 - F.col("shared") / union).withColumn("linked", den * F.col("shared") >= num * union)
+    exact = exact.select("p", "x", (1 - F.col("shared") / union).alias("exact"), (den * F.col("shared") >= num * union).alias("linked"))
+    compared = bounds.join(exact, ["p", "x"], "left").select("p", "x", F.coalesce("exact", "far").alias("far"), F.coalesce("exact", F.lit(1.0)).alias("most"), F.coalesce("linked", F.lit(False)).alias("linked"))
+    compared = written(compared)
     star = compared.filter("linked").select(F.col("p").alias("a"), F.col("x").alias("b"))
     # The rest: members not linked to their pivot, against each other and against those linked, at a like distance from it.
     place = Window.partitionBy("p", "linked").orderBy("far", "x")
     open_ = compared.join(compared.filter("not linked").select("p").distinct(), "p", "left_semi")
-    blocks = open_.withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK)).select("p", "x", "far", "linked", "block")
-    spans = blocks.groupBy("p", "linked", "block").agg(F.min("far").alias("low"), F.max("far").alias("high"), F.count("*").alias("size"))
+    blocks = open_.withColumn("block", F.floor((F.row_number().over(place) - 1) / BLOCK)).select("p", "x", "far", "most", "linked", "block")
+    spans = blocks.groupBy("p", "linked", "block").agg(F.min("far").alias("low"), F.max("most").alias("high"), F.count("*").alias("size"))
     reach = (den - num) / den + 1e-9
     h, s = spans.filter("not linked").alias("h"), spans.alias("s")
     alike = (F.col("s.low") <= F.col("h.high") + reach) & (F.col("h.low") <= F.col("s.high") + reach)
@@ -273,8 +374,11 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     near = cut(near.select(*names, F.xxhash64(F.col("h.p"), F.col("h.block"), F.col("s.linked"), F.col("s.block")).alias("pair")))
     left = blocks.filter("not linked").withColumnRenamed("block", "h").drop("linked").join(near, ["p", "h"]).select("pair", "alone", F.lit(False).alias("streamed"), "x")
     right = blocks.withColumnRenamed("block", "s").join(near.filter("not alone"), ["p", "linked", "s"]).select("pair", "alone", F.lit(True).alias("streamed"), "x")
-    both = left.unionByName(right).join(sets.withColumnRenamed("v", "x"), "x").repartition("pair").sortWithinPartitions("pair", "streamed", "x")
-    found = both.select("pair", "alone", "streamed", "x", "tokens").mapInPandas(lambda f: _blocks(f, num, den), "a long, b long")
+    order = ["pair", "alone", "streamed", "x"]
+    across = left.unionByName(right).join(bits, "x").repartition("pair").sortWithinPartitions("pair", "streamed", "x").select(*order, "n", "bits")
+    open_ = written(across.mapInPandas(lambda f: _candidates(f, num, den), "pair long, alone boolean, streamed boolean, x long"))
+    both = open_.join(sets_of(open_.select(F.col("x").alias("v")).distinct()), "x").repartition("pair").sortWithinPartitions("pair", "streamed", "x")
+    found = both.select(*order, "tokens").mapInPandas(lambda f: _blocks(f, num, den), "a long, b long")
     return star.unionByName(found)
 
 
@@ -310,11 +414,16 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     sketch = _sketch(scanned.filter("kind = 1"))
     keys = _keys(rows, n, num, den, sketch)
     pairs = written(_groups(keys, num, den))
-    needed = pairs.select(F.col("p").alias("v")).unionByName(pairs.select(F.col("x").alias("v"))).distinct()
-    wanted = sets_of.join(needed, "v", "left_semi").groupBy("v").agg(F.min("id").alias("id")).dropna()
-    links = written(_links(pairs, written(_sets(rows, wanted, n)), num, den))
+    least = sets_of.filter("v is not null").groupBy("v").agg(F.min("id").alias("id"))
+
+    def tokens(needed: DataFrame) -> DataFrame:
+        return written(_sets(rows, least.dropna().join(needed, "v", "left_semi"), n)).withColumnRenamed("v", "x")
+
+    used = pairs.select(F.col("p").alias("v")).unionByName(pairs.select(F.col("x").alias("v"))).distinct()
+    bits = scanned.filter("kind = 0").select(F.col("print").alias("v"), "n", "bits").join(used, "v", "left_semi").dropDuplicates(["v"])
+    links = written(_links(pairs, written(bits.withColumnRenamed("v", "x")), tokens, num, den))
     roots = components(links)
-    named = sets_of.filter("v is not null").groupBy("v").agg(F.min("id").alias("least"))
+    named = least.withColumnRenamed("id", "least")
     rooted = named.join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("root"), "least")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_set = cut(rooted.join(names, "root").select("v", "component_id"))
