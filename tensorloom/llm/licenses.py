@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,14 @@ def words_of(text: str) -> list[str]:
     return re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
 
 
+# Words that any English text has: poor keys.
+COMMON = {"a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "not", "of", "on", "or", "that", "the", "this", "to", "under", "with", "you"}
+
+
+def _weight(word: str) -> int:
+    return 0 if word in COMMON else len(word)
+
+
 def prepared(templates: dict[str, tuple[str, ...]], threshold: float) -> tuple[list[tuple], list[str]]:
     """Rows (license, template_no, pairs, keys), and the words of which every key holds one."""
     rows = []
@@ -68,14 +77,15 @@ def prepared(templates: dict[str, tuple[str, ...]], threshold: float) -> tuple[l
             w = words_of(text)
             pairs = sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
             least = math.ceil(threshold / (2 - threshold) * len(pairs) - 1e-9)
-            by_length = sorted(pairs, key=lambda p: (-max(map(len, p.split())), p))
+            by_length = sorted(pairs, key=lambda p: (-max(map(_weight, p.split())), p))
             rows.append((name, no, pairs, by_length[: len(pairs) - least + 1]))
-    keys = {k for r in rows for k in r[3]}
+    # long words are rare in other text: a key stands by its longest, or by any of six letters or more
+    keys = {k: {w for w in k.split() if _weight(w) >= min(6, max(map(_weight, k.split())))} for r in rows for k in r[3]}
     chosen: list[str] = []
-    while keys:  # greedy cover of the keys by words, longer words first among equals
-        best = max(sorted({w for k in keys for w in k.split()}), key=lambda w: (sum(w in k.split() for k in keys), len(w)))
+    while keys:  # greedy cover of the keys, longer words first among equals
+        best = max(sorted({w for own in keys.values() for w in own}), key=lambda w: (sum(w in own for own in keys.values()), len(w)))
         chosen.append(best)
-        keys = {k for k in keys if best not in k.split()}
+        keys = {k: own for k, own in keys.items() if best not in own}
     return rows, chosen
 
 
@@ -96,10 +106,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     rows, keywords = prepared(templates, threshold)
     table = spark.createDataFrame(rows, "license string, template_no int, pairs array<string>, keys array<string>")
     text = F.col(text_col)
-    low = F.lower(text)
-    hit = F.lit(False)
-    for w in keywords:
-        hit = hit | low.contains(w)
+    # bound as a lambda's argument, the text is lower-cased once for all keywords
+    short = "|".join(w for w in keywords if len(w) < 6)
+    tests = [lambda low, w=w: low.contains(w) for w in keywords if len(w) >= 6]
+    tests += [lambda low: low.rlike(f"(?<![a-z0-9])(?:{short})(?![a-z0-9])")] if short else []
+    hit = F.exists(F.array(F.lower(text)), lambda low: reduce(lambda a, b: a | b, [t(low) for t in tests]))
     some = docs.select(F.col(id_col).alias("id"), text.alias("text")).filter(hit)
     # line 0 is the whole text
     whole = F.when(F.instr("text", "\n") > 0, F.col("text")).otherwise(F.lit(""))
