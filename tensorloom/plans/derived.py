@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tensorloom.operators.routes import EDGES
-from tensorloom.sources import gguf
+from tensorloom.sources import gguf, onnx, pytorch
 
 NODES = sorted({n for e in EDGES for n in e[:2]})
 READERS = ["GGUF", "SafeTensors", "ONNX", "PyTorch", "TFLite", "AWQ", "GPTQ"]
@@ -84,3 +84,13 @@ def text_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @F.pandas_udf(T.BinaryType())
 def gguf_file(name, data):
     return name.combine(data, lambda n, x: gguf.write({"general.architecture": "phi", "general.name": n}, [(n, [len(x)], "I8", bytes(x)), (n + ".again", [1, len(x)], "I8", bytes(x))]))
+
+
+@F.pandas_udf(T.BinaryType())
+def onnx_file(name, data):
+    return name.combine(data, lambda n, x: onnx.write([(n, [len(x)], "U8", bytes(x)), (n + ".again", [1, len(x)], "I8", bytes(x))], {"source_format": "text"}))
+
+
+@F.pandas_udf(T.BinaryType())
+def pytorch_file(name, data):
+    return name.combine(data, lambda n, x: pytorch.write([(n, [len(x)], "U8", bytes(x)), (n + ".again", [1, len(x)], "I8", bytes(x))]))

@@ -12,7 +12,7 @@ from tensorloom.operators import detect, inspect, jobs, lora, provenance, routes
 from tensorloom.plans import derived
 from tensorloom.plans.derived import table
 from tensorloom.plans.oracles import oracle_sql as oracle_sql
-from tensorloom.sources import gguf, safetensors, sidecars
+from tensorloom.sources import gguf, onnx, pytorch, safetensors, sidecars, walked
 from tensorloom.streaming import progress
 
 
@@ -199,6 +199,20 @@ def gguf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gguf.tensors(files).select("path", "name", "dtype", "byte_len", "in_bounds", F.size("shape").alias("rank"), F.sha2("data", 256).alias("sha256"))
 
 
+def _walked(spark: SparkSession, sf_dir: str, make, walk) -> DataFrame:
+    t = derived.text_tensors(spark, sf_dir)
+    read = walked.tensors(t.select(F.col("name").alias("path"), make("name", "data").alias("content")), walk)
+    return read.select("path", "name", "dtype", "byte_len", "in_bounds", F.size("shape").alias("rank"), F.sha2("data", 256).alias("sha256"), "error")
+
+
+def onnx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _walked(spark, sf_dir, derived.onnx_file, onnx.walk)
+
+
+def pytorch_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _walked(spark, sf_dir, derived.pytorch_file, pytorch.walk)
+
+
 def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"), names.extension(F.col("url")).alias("ext"), names.sanitized(F.col("url")).alias("name"))
 
@@ -267,7 +281,7 @@ def sidecar_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     detection, route_planning, api_edges, model_summary, first_tensors, architecture, typed_metadata, shared_tensors, structural_validation, numeric_validation, certificates,
     lora_pairs, lora_merge, metadata_upserts, provenance_chain, job_pages, job_cancellation, job_states, token_validity, users_with_jobs, orphan_events, job_history,
-    progress_states, progress_by_minute, elementwise_ops, row_ops, reductions, top_elements, matmul, safetensors_round_trip, gguf_round_trip, file_hashes, file_xxh64,
+    progress_states, progress_by_minute, elementwise_ops, row_ops, reductions, top_elements, matmul, safetensors_round_trip, gguf_round_trip, onnx_round_trip, pytorch_round_trip, file_hashes, file_xxh64,
     dequantized, row_sizes, adapter_inspection, running_offsets, conversion_policy, canonical_groups, sidecar_configs,
 ]
 

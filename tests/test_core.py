@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions import canonical, dtypes, kernels, names, ops
 from tensorloom.functions.binary import little_endian, to_little_endian
 from tensorloom.operators import detect, jobs, lora, provenance, routes, validate
-from tensorloom.sources import gguf, safetensors
+from tensorloom.sources import gguf, onnx, pytorch, safetensors, walked
 from tensorloom.streaming import progress
 
 
@@ -257,3 +257,38 @@ def test_canonical(spark):
     assert one.select(col(4, "interleaved", 4)).first()[0] == [1.0, 2.0, 3.0, 4.0]
     empty = spark.createDataFrame([(bytearray(), [1.0], [0.0]), (None, None, None)], "d binary, s array<double>, z array<double>")
     assert [r[0] for r in empty.select(col(4, "block", 4)).collect()] == [[], None]
+
+
+ENTRIES = [("w", [2, 3], "F32", bytes(range(24))), ("b", [], "I64", bytes(8)), ("h.é", [4], "F16", bytes(range(8)))]
+
+
+@pytest.mark.parametrize("module", [onnx, pytorch])
+def test_walked_formats(spark, module):
+    data = module.write(ENTRIES)
+    f = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(b"nope")), ("c", None)], "path string, content binary")
+    got = {(r.path, r.name): r for r in walked.tensors(f, module.walk).collect()}
+    assert {n: (r.dtype, r.shape, bytes(r.data)) for (p, n), r in got.items() if p == "a"} == {n: (d, s, x) for n, s, d, x in ENTRIES}
+    assert got["b", None].error and got["c", None].error
+
+
+def test_onnx_typed_fields():
+    t = onnx._field(1, 2) + onnx._field(2, 1) + onnx._field(8, b"x") + onnx._field(4, struct.pack("<2f", 1, 2))
+    u = onnx._field(2, 3) + onnx._field(8, b"y") + onnx._field(5, b"\x01\xff\x01")
+    skipped = onnx._field(2, 8) + onnx._field(8, b"z") + onnx._field(9, b"s")
+    found = list(onnx.walk(onnx._field(7, b"".join(onnx._field(5, m) for m in (t, u, skipped)))))
+    assert [(f[0], f[1], f[2], f[5]) for f in found] == [("x", "F32", [2], struct.pack("<2f", 1, 2)), ("y", "I8", [], b"\x01\xff")]
+
+
+def test_pickles_are_not_run(tmp_path):
+    import io
+    import pickle
+    import zipfile
+
+    class Bad:
+        def __reduce__(self):
+            return (open, (str(tmp_path / "made"), "w"))
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("m/data.pkl", pickle.dumps({"x": Bad(), "y": [1, {"z": None}]}, protocol=4))
+    assert list(pytorch.walk(out.getvalue())) == [] and not (tmp_path / "made").exists()
