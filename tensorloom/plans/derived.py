@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tensorloom.operators.routes import EDGES
-from tensorloom.sources import gguf, onnx, pytorch
+from tensorloom.sources import gguf, onnx, pytorch, tflite
 
 NODES = sorted({n for e in EDGES for n in e[:2]})
 READERS = ["GGUF", "SafeTensors", "ONNX", "PyTorch", "TFLite", "AWQ", "GPTQ"]
@@ -76,7 +76,7 @@ def adapter_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' bytes as U8 tensors, a model per source."""
-    data = F.encode(F.col("text"), "UTF-8")
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     name = F.concat(F.lit("doc."), F.col("doc_id").cast("string"))
     return table(spark, sf_dir, "documents").select(F.col("source").alias("model_id"), name.alias("name"), F.lit("U8").alias("dtype"), F.array(F.octet_length(data).cast("long")).alias("shape"), data.alias("data"))
 
@@ -94,3 +94,8 @@ def onnx_file(name, data):
 @F.pandas_udf(T.BinaryType())
 def pytorch_file(name, data):
     return name.combine(data, lambda n, x: pytorch.write([(n, [len(x)], "U8", bytes(x)), (n + ".again", [1, len(x)], "I8", bytes(x))]))
+
+
+@F.pandas_udf(T.BinaryType())
+def tflite_file(name, data):
+    return name.combine(data, lambda n, x: tflite.write([(n, [len(x)], "U8", bytes(x)), (n + ".again", [1, len(x)], "I8", bytes(x))]))

@@ -139,11 +139,13 @@ SELECT vec_id, CAST(i AS INTEGER) AS i, round(exp(s) / sum(exp(s)) OVER w, 6) AS
   CAST(arg_min(i, (-x, i)) AS INTEGER) AS argmax, CAST(arg_min(i, (x, i)) AS INTEGER) AS argmin FROM e GROUP BY vec_id""",
         "top_elements": f"WITH {_ELEMENTS} SELECT vec_id, CAST(i AS INTEGER) AS i, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS INTEGER) AS place FROM e QUALIFY place <= 3",
         "matmul": f"WITH {_ELEMENTS}, b AS (SELECT i, label AS c, avg(x) AS v FROM e GROUP BY i, label) SELECT e.vec_id AS r, b.c, round(sum(e.x * b.v), 6) AS v FROM e JOIN b USING (i) GROUP BY ALL",
-        "safetensors_round_trip": "SELECT coalesce(source, 'none') AS model_id, 'doc.' || doc_id AS name, 'U8' AS dtype, strlen(text) AS byte_len, true AS in_bounds, sha256(text) AS sha256 FROM documents",
-        "gguf_round_trip": """SELECT 'doc.' || doc_id AS path, 'doc.' || doc_id || suffix AS name, 'I8' AS dtype, strlen(text) AS byte_len, true AS in_bounds, CAST(rank AS INTEGER) AS rank, sha256(text) AS sha256
+        "safetensors_round_trip": "SELECT coalesce(source, 'none') AS model_id, 'doc.' || doc_id AS name, 'U8' AS dtype, strlen(coalesce(text, '')) AS byte_len, true AS in_bounds, sha256(coalesce(text, '')) AS sha256 FROM documents",
+        "gguf_round_trip": """SELECT 'doc.' || doc_id AS path, 'doc.' || doc_id || suffix AS name, 'I8' AS dtype, strlen(coalesce(text, '')) AS byte_len, true AS in_bounds, CAST(rank AS INTEGER) AS rank, sha256(coalesce(text, '')) AS sha256
 FROM documents, (VALUES ('', 1), ('.again', 2)) t(suffix, rank)""",
-        **{f"{kind}_round_trip": """SELECT 'doc.' || doc_id AS path, 'doc.' || doc_id || suffix AS name, dtype, strlen(text) AS byte_len, true AS in_bounds, CAST(rank AS INTEGER) AS rank, sha256(text) AS sha256, CAST(NULL AS VARCHAR) AS error
-FROM documents, (VALUES ('', 1, 'U8'), ('.again', 2, 'I8')) t(suffix, rank, dtype)""" for kind in ("onnx", "pytorch")},
+        **{f"{kind}_round_trip": """SELECT 'doc.' || doc_id AS path, 'doc.' || doc_id || suffix AS name, dtype, strlen(coalesce(text, '')) AS byte_len, true AS in_bounds, CAST(rank AS INTEGER) AS rank, sha256(coalesce(text, '')) AS sha256, CAST(NULL AS VARCHAR) AS error
+FROM documents, (VALUES ('', 1, 'U8'), ('.again', 2, 'I8')) t(suffix, rank, dtype)""" for kind in ("onnx", "pytorch", "tflite")},
+        "gguf_to_safetensors": """SELECT coalesce(source, 'none') AS model_id, 2 * count(*) AS tensors_before, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS shape_mismatches, CAST(0 AS BIGINT) AS dtype_changes,
+  2 * count(*) AS tensors_after, true AS passed FROM documents GROUP BY ALL""",
         "file_hashes": r"SELECT page_id, sha256(html) AS sha256, regexp_extract(url, '[^/]\.([^./]*)$', 1) AS ext, left(regexp_replace(url, '[^\p{L}\p{N}._-]', '', 'g'), 128) AS name FROM pages",
         "row_sizes": f"""WITH g(type_id, dtype, elements, size) AS (VALUES {ggml}), r AS (SELECT l_partkey % 36 AS type_id, CAST(l_quantity * 32 AS BIGINT) AS n FROM lineitem)
 SELECT CAST(r.type_id AS INTEGER) AS type_id, max(dtype) AS dtype, CAST(sum(n // elements * size) FILTER (n % elements = 0) AS BIGINT) AS bytes, count(*) FILTER (n % elements = 0) AS whole, count(*) AS n FROM r LEFT JOIN g USING (type_id) GROUP BY r.type_id""",

@@ -12,7 +12,7 @@ from tensorloom.operators import detect, inspect, jobs, lora, provenance, routes
 from tensorloom.plans import derived
 from tensorloom.plans.derived import table
 from tensorloom.plans.oracles import oracle_sql as oracle_sql
-from tensorloom.sources import gguf, onnx, pytorch, safetensors, sidecars, walked
+from tensorloom.sources import gguf, onnx, pytorch, safetensors, sidecars, tflite, walked
 from tensorloom.streaming import progress
 
 
@@ -213,6 +213,20 @@ def pytorch_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walked(spark, sf_dir, derived.pytorch_file, pytorch.walk)
 
 
+def tflite_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _walked(spark, sf_dir, derived.tflite_file, tflite.walk)
+
+
+def gguf_to_safetensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conversion from end to end: files of one format in, shards of another out, and the structural report over both."""
+    t = derived.text_tensors(spark, sf_dir)
+    source = gguf.tensors(t.select(F.concat_ws("/", F.coalesce("model_id", F.lit("none")), "name").alias("path"), derived.gguf_file("name", "data").alias("content")))
+    before = source.select(F.split("path", "/")[0].alias("model_id"), "name", "dtype", "shape", "data")
+    files = safetensors.shards(before, 4 << 20)
+    after = safetensors.tensors(files.select("model_id", F.concat_ws("/", "model_id", F.col("shard").cast("string")).alias("path"), "content"), metadata_only=True)
+    return validate.structural(before, after.select(F.split("path", "/")[0].alias("model_id"), "name", "dtype", "shape"))
+
+
 def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"), names.extension(F.col("url")).alias("ext"), names.sanitized(F.col("url")).alias("name"))
 
@@ -281,7 +295,7 @@ def sidecar_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     detection, route_planning, api_edges, model_summary, first_tensors, architecture, typed_metadata, shared_tensors, structural_validation, numeric_validation, certificates,
     lora_pairs, lora_merge, metadata_upserts, provenance_chain, job_pages, job_cancellation, job_states, token_validity, users_with_jobs, orphan_events, job_history,
-    progress_states, progress_by_minute, elementwise_ops, row_ops, reductions, top_elements, matmul, safetensors_round_trip, gguf_round_trip, onnx_round_trip, pytorch_round_trip, file_hashes, file_xxh64,
+    progress_states, progress_by_minute, elementwise_ops, row_ops, reductions, top_elements, matmul, safetensors_round_trip, gguf_round_trip, onnx_round_trip, pytorch_round_trip, tflite_round_trip, gguf_to_safetensors, file_hashes, file_xxh64,
     dequantized, row_sizes, adapter_inspection, running_offsets, conversion_policy, canonical_groups, sidecar_configs,
 ]
 

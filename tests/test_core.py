@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions import canonical, dtypes, kernels, names, ops
 from tensorloom.functions.binary import little_endian, to_little_endian
 from tensorloom.operators import detect, jobs, lora, provenance, routes, validate
-from tensorloom.sources import gguf, onnx, pytorch, safetensors, walked
+from tensorloom.sources import gguf, onnx, pytorch, safetensors, tflite, walked
 from tensorloom.streaming import progress
 
 
@@ -262,7 +262,7 @@ def test_canonical(spark):
 ENTRIES = [("w", [2, 3], "F32", bytes(range(24))), ("b", [], "I64", bytes(8)), ("h.é", [4], "F16", bytes(range(8)))]
 
 
-@pytest.mark.parametrize("module", [onnx, pytorch])
+@pytest.mark.parametrize("module", [onnx, pytorch, tflite])
 def test_walked_formats(spark, module):
     data = module.write(ENTRIES)
     f = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(b"nope")), ("c", None)], "path string, content binary")
