@@ -29,14 +29,15 @@ def routes(graph: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     A node reaches itself with no hop and no cost.  Ties go to fewer hops, then to the greater path.
     """
     nodes = graph.select(F.col("source").alias("n")).union(graph.select("target")).distinct()
-    found = nodes.select(F.col("n").alias("source"), F.col("n").alias("target"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(True).alias("all_native"), F.array("n").alias("path"))
-    step = F.broadcast(graph.select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("cost").alias("c"), "native"))
-    best = Window.partitionBy("source", "target").orderBy("cost", "hops", F.desc("path"))
+    walks = nodes.select(F.col("n").alias("source"), F.col("n").alias("target"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(True).alias("all_native"), F.array("n").alias("path"))
+    step = F.broadcast(graph.select(F.col("source").alias("a"), F.col("target").alias("b"), F.col("cost").alias("c"), "native"))  # a row per edge
+    found = walks
     for _ in range(max_hops):
-        longer = found.join(step, F.col("target") == F.col("a")).filter(~F.array_contains("path", F.col("b")))
-        longer = longer.select("source", F.col("b").alias("target"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("hops") + 1).alias("hops"), (F.col("all_native") & F.col("native")).alias("all_native"), F.concat("path", F.array("b")).alias("path"))
-        found = found.unionByName(longer).withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
-    return found
+        longer = walks.join(step, (F.col("target") == F.col("a")) & ~F.array_contains("path", F.col("b")))
+        walks = longer.select("source", F.col("b").alias("target"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("hops") + 1).alias("hops"), (F.col("all_native") & F.col("native")).alias("all_native"), F.concat("path", F.array("b")).alias("path"))
+        found = found.unionByName(walks)
+    best = Window.partitionBy("source", "target").orderBy("cost", "hops", F.desc("path"))
+    return found.withColumn("_n", F.row_number().over(best)).filter("_n = 1").drop("_n")
 
 
 def plan_jobs(jobs: DataFrame, graph: DataFrame) -> DataFrame:
