@@ -111,15 +111,16 @@ def thresholds(measured: DataFrame, good: DataFrame, id_col: str, stratum_col: s
     alpha = RISK / len(GRID)
     level = F.lit(DELTA) / (F.lit(float(sum(map(len, GRID.values())))) * F.col("strata"))
     per = per.join(F.broadcast(m), F.lit(True))  # a single number
+    # each test is a column of its own, so that it is computed once
+    tested = per.select("stratum", *[(binomial_at_most(F.col(f"{rule}_{i}"), F.col("n"), alpha) <= level).alias(f"{rule}_{i}") for rule, grid in GRID.items() for i in range(len(grid))])
     columns = []
     for rule, grid in GRID.items():
-        # certified i: itself and all more lenient ones pass
-        ok = [binomial_at_most(F.col(f"{rule}_{i}"), F.col("n"), alpha) <= level for i in range(len(grid))]
-        best = F.lit(None).cast("double")
-        for i in range(len(grid)):
-            best = F.when(reduce(lambda a, b: a & b, ok[: i + 1]), F.lit(grid[i])).otherwise(best)
-        columns.append(best.alias(f"cut_{rule}"))
-    return per.select("stratum", *columns)
+        # a cutoff holds if it and all more lenient ones pass: the number of passes before the first failure says which
+        passes = F.array(*[F.col(f"{rule}_{i}") for i in range(len(grid))])
+        first_failure = F.array_position(passes, False)
+        n = F.when(first_failure == 0, len(grid)).otherwise(first_failure - 1).cast("int")
+        columns.append(F.get(F.array(*map(F.lit, grid)), n - 1).alias(f"cut_{rule}"))
+    return tested.select("stratum", *columns)
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
