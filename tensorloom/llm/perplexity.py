@@ -15,8 +15,10 @@ Scoring is thus a join of documents' n-gram counts with the weights.  Where the
 (``BROADCAST_ROWS``, checked at run time) they are sent to the tasks, which join in memory; beyond, the
 documents' n-grams are shuffled to the shards of the weights.  Both give the same sums.
 
-A document is rejected if its perplexity is above its language's quantile, taken over trusted
-documents that the model hasn't seen, and a slack.
+A document is rejected if its perplexity is above its language's quantile, taken over trusted texts
+of like length that the model hasn't seen: short texts vary more.  A length class (a power of two of
+characters) is set by the trusted documents in it and by the ends, as long as the class, of longer
+ones.  What is taken is an upper confidence rank of the quantile, the greatest of few texts.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -39,11 +43,10 @@ BROADCAST_ROWS = 2_000_000
 #: Trusted documents with crc32(id) mod FOLDS = 0 set the thresholds, the others train.
 FOLDS = 5
 QUANTILE = 0.995
-#: Log-perplexity allowed above the quantile, and more where few documents set it (divided by their number's root):
-#: a rare style isn't bad text, and the quantile of a few documents is too low.
-SLACK, SLACK_FEW = 0.2, 0.5
-#: A short text's mean is drawn to its language's by as many characters; else thresholds would be those of short texts.
-PRIOR_CHARS = 200
+#: Chance that the rank taken is below the quantile, and texts under which all languages' limit and a normal quantile's are heeded too.
+ERROR, FEW = 0.05, 60
+#: Length classes: texts of 2 ** class characters up to twice as many; the first has shorter, the last longer ones too.
+CLASSES = range(2, 13)
 #: Resolution of the log-perplexity in which quantiles are counted.
 BIN = 0.001
 START, END = "\x02", "\x03"
@@ -263,15 +266,66 @@ def _score_shuffled(docs: DataFrame, weights: DataFrame, unknown: float, keep: l
     return numbered.join(sums, "_row").select(*keep, "n_chars", "logp")
 
 
+@lru_cache(maxsize=10_000)
+def spare(n: int, quantile: float = QUANTILE) -> int:
+    """How many of n texts may lie above the limit: the most for which P(Bin(n, 1 - quantile) <= it) is at most ERROR, or none."""
+    p = 1 - quantile
+    total, k = 0.0, 0
+    while k < n * p:
+        total += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
+        if total > ERROR:
+            break
+        k += 1
+    return max(k - 1, 0)
+
+
+def length_class(n_chars: Column) -> Column:
+    return F.least(F.greatest(F.length(F.bin(n_chars)) - 1, F.lit(CLASSES[0])), F.lit(CLASSES[-1]))
+
+
+def stretches(held: DataFrame) -> DataFrame:
+    """The ends of each text, as long as the classes below its length; they begin with a word where they can."""
+    short = F.array(*[F.lit(c) for c in CLASSES])
+    each = held.withColumn("class", F.explode(F.filter(short, lambda c: F.length("text") > F.pow(F.lit(2), c))))
+    return each.withColumn("text", F.regexp_replace(F.expr("right(text, cast(pow(2, class) as int))"), r"^\S*\s+(?=\S)", ""))
+
+
+def limits(held: DataFrame, quantile: float = QUANTILE) -> tuple[DataFrame, DataFrame]:
+    """(lang, limits) and the one row (limits) of all languages: [(class, limit in bins)], from (lang, class, logp, n_chars) of held-out texts."""
+    mean = -F.col("logp") / F.col("n_chars")
+    bins = cut(held.groupBy("lang", "class", F.ceil(mean / BIN).alias("bin")).agg(F.count("*").alias("n")))  # bounded: bins per class
+    above = F.udf(lambda n: spare(n, quantile), "long")
+
+    def ranked(b: DataFrame, keys: list[str]) -> DataFrame:
+        over = Window.partitionBy(*keys).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+        few = b.groupBy(*keys).agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("bin")).alias("s"), F.sum(F.col("n") * F.col("bin") * F.col("bin")).alias("ss"))
+        deviation = F.sqrt(F.greatest(F.col("ss") - F.col("s") * F.col("s") / F.col("all"), F.lit(0)) / F.greatest(F.col("all") - 1, F.lit(1)))
+        # upper confidence limit of a normal quantile, for few texts
+        z, sure = NormalDist().inv_cdf(quantile), NormalDist().inv_cdf(1 - ERROR)
+        factor = z + sure * F.sqrt(1 / F.col("all") + z * z / 2 / F.greatest(F.col("all") - 1, F.lit(1)))
+        bound = F.when(F.col("all") < FEW, F.ceil(F.col("s") / F.col("all") + factor * deviation))
+        few = few.select(*[F.col(k).alias(f"_{k}") for k in keys], "all", above("all").alias("spare"), bound.alias("bound"))
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        # the least bin with no more texts above it than may be
+        return b.withColumn("over", F.coalesce(F.sum("n").over(over), F.lit(0))).join(few, same).filter("over <= spare").groupBy(*keys).agg(F.greatest(F.min("bin"), F.first("bound")).alias("limit"), F.first("all").alias("all"))
+
+    every = cut(ranked(bins.groupBy("class", "bin").agg(F.sum("n").alias("n")), ["class"]))
+    own = ranked(bins, ["lang", "class"]).join(every.select("class", F.col("limit").alias("wide")), "class")
+    own = own.withColumn("limit", F.when(F.col("all") < FEW, F.greatest("limit", "wide")).otherwise(F.col("limit")))
+    listed = F.sort_array(F.collect_list(F.struct("class", "limit"))).alias("limits")  # as many as CLASSES
+    return own.groupBy("lang").agg(listed), every.agg(listed)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Perplexity and verdict of every document.
 
     Trusted documents are those whose labels all have quality 1 and none toxic.  Result, a row per
-    input row: id, lang, n_chars, perplexity, threshold, kept.  Null text counts as empty (only its
-    end is predicted); a null language is one of its own; a language without trusted held-out
-    documents has a null threshold and keeps everything; equal texts get equal scores, repeated rows
-    stay repeated, repeated labels count once; empty tables work (the model is then uniform); other
-    columns aren't read.
+    input row: id, lang, n_chars, perplexity, threshold (of the text's length), kept.  Null text
+    counts as empty (only its end is predicted); a null language is one of its own; a language whose
+    trusted documents are all in training has the threshold of all languages; one without trusted
+    documents, of which the model knows nothing, has a null threshold and keeps everything; equal
+    texts get equal scores, repeated rows stay repeated, repeated labels count once; empty tables
+    work (the model is then uniform); other columns aren't read.
     """
     fold = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS, F.lit(0))
     trusted = labels.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("q"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("t")).filter("q = 1 and t = 0").select("_id")
@@ -280,26 +334,20 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     training = rows.filter("fold != 0").join(trusted, "_id", "left_semi")
     counts = written(ngram_counts(training, order))
     weights, unknown = kneser_ney(counts, order)
-    scored = written(score(rows, weights, unknown, ["_id", "lang", "fold"], order, broadcast_rows))
-    held = scored.filter("fold = 0").join(trusted, "_id", "left_semi")
-    mean = held.groupBy("lang").agg((-F.sum(F.col("logp").cast("decimal(28,6)")).cast("double") / F.sum("n_chars")).alias("mean"))
-    mean = cut(mean)  # a row per language
-    drawn = (-F.col("logp") + PRIOR_CHARS * F.col("mean")) / (F.col("n_chars") + PRIOR_CHARS)
-
-    def with_mean(df: DataFrame) -> DataFrame:
-        m = mean.withColumnRenamed("lang", "_lang")
-        return df.join(m, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("bin", F.ceil(drawn / BIN)).drop("_lang")
-
-    bins = with_mean(held).groupBy("lang", "bin").agg(F.count("*").alias("n"))  # bounded: bins per language
-    upto, every = Window.partitionBy("lang").orderBy("bin"), Window.partitionBy("lang")
-    limit = (
-        bins.withColumn("all", F.sum("n").over(every))
-        .withColumn("share", F.sum("n").over(upto) / F.col("all"))
-        .filter(F.col("share") >= quantile)
-        .groupBy(F.col("lang").alias("_lang"))
-        .agg((F.min("bin") + F.ceil((SLACK + SLACK_FEW / F.sqrt(F.max("all"))) / BIN)).alias("limit"))
-    )
-    out = with_mean(scored).join(limit, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    ends = written(stretches(rows.filter("fold = 0").join(trusted, "_id", "left_semi")))
+    every = rows.withColumn("class", F.lit(None).cast("int")).unionByName(ends)
+    every = written(score(every, weights, unknown, ["_id", "lang", "fold", "class"], order, broadcast_rows))
+    scored = every.filter("class is null").drop("class")
+    held = scored.filter("fold = 0").join(trusted, "_id", "left_semi").withColumn("class", length_class(F.col("n_chars")))
+    own, pooled = limits(held.unionByName(every.filter("class is not null")), quantile)
+    learnt = scored.join(trusted, "_id", "left_semi").select(F.col("lang").alias("_lang")).distinct()
+    known = learnt.join(own, F.col("_lang").eqNullSafe(F.col("lang")), "left").join(pooled.withColumnRenamed("limits", "_every"), F.lit(True))
+    known = cut(known.select("_lang", F.coalesce("limits", "_every").alias("limits")))  # a row per language
+    out = scored.join(known, F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("class", length_class(F.col("n_chars")))
+    # a class without texts takes the next shorter one's limit, which isn't below its own
+    shorter = F.filter("limits", lambda e: e["class"] <= F.col("class"))
+    limit = F.coalesce(F.get(F.reverse(shorter), F.lit(0))["limit"], F.get("limits", F.lit(0))["limit"])
+    out = out.withColumn("limit", limit).withColumn("bin", F.ceil(-F.col("logp") / F.col("n_chars") / BIN))
     return out.select(
         F.col("_id").alias(id_col), "lang", "n_chars", F.exp(-F.col("logp") / F.col("n_chars")).alias("perplexity"),
         F.exp(F.col("limit") * BIN).alias("threshold"), F.coalesce(F.col("bin") <= F.col("limit"), F.lit(True)).alias("kept"),

@@ -81,3 +81,30 @@ def test_nothing_to_learn(frame, labels):
     out = px.classify(frame([(1, "a b"), (2, None)]), labels([])).collect()
     assert all(r.kept and r.threshold is None for r in out) and len(out) == 2
     assert not px.classify(frame([]), labels([])).collect()
+
+
+def test_limits_are_quantiles_of_like_length(spark):
+    for n in (1, 100, 597, 598, 2000):
+        tail = [sum(math.comb(n, i) * 0.005**i * 0.995 ** (n - i) for i in range(k + 1)) for k in range(40)]
+        assert px.spare(n) == max([k for k in range(min(n, 40)) if tail[k] <= px.ERROR], default=0)
+    rows = [("en", c, -(i + 1) / 1000 * 100 * w, 100) for c, w in ((4, 3), (9, 1)) for i in range(800)] + [("de", 9, -50.0, 100)]
+    own, pooled = px.limits(spark.createDataFrame(rows, "lang string, class int, logp double, n_chars long"))
+    got = {r.lang: {c: v for c, v in r.limits} for r in own.collect()}
+    # no slack above the rank, and a lone text isn't believed
+    assert abs(got["en"][9] - (800 - px.spare(800))) <= 1 and abs(got["en"][4] - 3 * (800 - px.spare(800))) <= 3
+    assert got["de"] == {9: dict(map(tuple, pooled.first().limits))[9]}
+
+
+def test_dull_junk_of_a_rare_length_goes(frame, labels, rng):
+    rows = [(i, " ".join(words(rng, 300 if i % 2 else 12, 60)), "en") for i in range(600)]
+    # as odd as a short text may be, but long
+    rows += [(1000 + i, " ".join(rng.choice(["w1", "w2", "xq"]) for _ in range(300)), "en") for i in range(10)]
+    rows += [(2000, "w1 w2 w3 w4", "fr"), (2001, "".join(rng.choice("#$%&*") for _ in range(300)), "fr")]
+    own = next(i for i in range(3000, 3100) if px.spare(1) == 0 and __import__("zlib").crc32(str(i).encode()) % px.FOLDS)
+    rows += [(own, " ".join(words(rng, 100, 60)), "fr")]
+    marks = [(i, 1, 0) for i in range(600)] + [(own, 1, 0)]
+    got = {r.doc_id: r for r in px.classify(frame(rows), labels(marks)).collect()}
+    assert not any(got[1000 + i].kept for i in range(10))
+    # fr has trusted documents in training only: the limits of all languages hold
+    assert got[2001].threshold is not None and not got[2001].kept and got[own].kept
+    assert sum(not got[i].kept for i in range(600)) <= 6
