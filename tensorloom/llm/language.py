@@ -34,6 +34,8 @@ SMOOTHING, UNKNOWN = 0.1, 1e-7
 CACHE_WORDS, ROWS, LOT = 200_000, 256, 20_000
 #: Typical probability per character; products are scaled by it so that they stay near 1.
 PER_CHAR = 0.05
+#: A word with a smaller sum at any place is summed again in logarithms.
+TINY = 1e-200
 #: A word is cut after so many characters, which bounds the forward table.
 LONGEST = 64
 
@@ -110,6 +112,35 @@ def _weights(probability: np.ndarray) -> list[np.ndarray]:
     return [probability / PER_CHAR**k for k in range(33)]
 
 
+def _tiny(alpha: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Words of which a forward sum, in any language, is too small to be held as a plain product."""
+    small = alpha.reshape(*alpha.shape[:2], -1).min(axis=2) < TINY
+    return np.flatnonzero((small & (np.arange(len(alpha))[:, None] <= n)).any(axis=0))
+
+
+def _log_forward(edges: list, scaled: list[np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """[place, word, ...] logarithms of the forward sums."""
+    logs = np.full((len(edges) + 1, *shape), -np.inf)
+    logs[0] = 0
+    for at, starts in enumerate(edges):
+        for rows, length, piece in starts:
+            logs[at + length, rows] = np.logaddexp(logs[at + length, rows], logs[at, rows] + np.log(scaled[length][piece]))
+    return logs
+
+
+def _log_expected(pieces: Pieces, words: list[str], count: np.ndarray, scaled: list[np.ndarray]) -> np.ndarray:
+    n, edges = pieces.edges(words)
+    alpha = _log_forward(edges, scaled, (len(words),))
+    beta, total = np.full(alpha.shape, -np.inf), np.zeros(pieces.size + 1)
+    beta[n, np.arange(len(words))] = np.log(count) - alpha[n, np.arange(len(words))]
+    for at in range(len(edges) - 1, -1, -1):
+        for rows, length, piece in edges[at]:
+            part = np.log(scaled[length][piece]) + beta[at + length, rows]
+            beta[at, rows] = np.logaddexp(beta[at, rows], part)
+            total += np.bincount(piece, np.exp(alpha[at, rows] + part), len(total))
+    return total
+
+
 def scores(pieces: Pieces, words: list[str], scaled: list[np.ndarray]) -> np.ndarray:
     """[word, language] log of the sum over all segmentations; ``scaled[k]`` is [piece, language]."""
     out = np.empty((len(words), scaled[0].shape[1]))
@@ -122,7 +153,14 @@ def scores(pieces: Pieces, words: list[str], scaled: list[np.ndarray]) -> np.nda
         for at, starts in enumerate(edges):
             for rows, length, piece in starts:
                 alpha[at + length, rows] += alpha[at, rows] * scaled[length][piece]
-        out[own] = np.log(alpha[n, np.arange(len(own))]) + n[:, None] * np.log(PER_CHAR)
+        again = _tiny(alpha, n)
+        sums = alpha[n, np.arange(len(own))]
+        sums[again] = 1
+        sums = np.log(sums)
+        if len(again):
+            m, edges = pieces.edges([words[own[i]] for i in again])
+            sums[again] = _log_forward(edges, scaled, (len(again), out.shape[1]))[m, np.arange(len(again))]
+        out[own] = sums + n[:, None] * np.log(PER_CHAR)
     return out
 
 
@@ -138,12 +176,17 @@ def expected(pieces: Pieces, words: list[str], count: np.ndarray, scaled: list[n
         for at, starts in enumerate(edges):
             for rows, length, piece in starts:
                 alpha[at + length, rows] += alpha[at, rows] * scaled[length][piece]
-        beta[n, np.arange(len(own))] = count[own] / alpha[n, np.arange(len(own))]
+        again, ends = _tiny(alpha, n), alpha[n, np.arange(len(own))]
+        alpha[:, again] = 0
+        ends[again] = np.inf  # these words count below
+        beta[n, np.arange(len(own))] = count[own] / ends
         for at in range(len(edges) - 1, -1, -1):
             for rows, length, piece in edges[at]:
                 part = scaled[length][piece] * beta[at + length, rows]
                 beta[at, rows] += part
                 total += np.bincount(piece, alpha[at, rows] * part, len(total))
+        if len(again):
+            total += _log_expected(pieces, [words[own[i]] for i in again], count[own[again]], scaled)
     return total
 
 

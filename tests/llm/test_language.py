@@ -68,3 +68,30 @@ def test_held_out_accuracy(spark, frame):
     got = {r.doc_id: r for r in lg.identify(docs, MODEL).collect()}
     held = [(got[r.doc_id].lang_pred, r.lang) for r in docs.collect() if got[r.doc_id].held_out and r.lang and len(r.text or "") > 50]
     assert sum(a == b for a, b in held) >= 0.95 * len(held)
+
+
+def test_long_runs_of_unseen_characters_stay_finite(spark, frame):
+    pieces = lg.pieces_of(MODEL)
+    p = np.full((pieces.size + 1, 2), 0.1 / 60e6) * [1, 2]
+    p[pieces.size] = lg.UNKNOWN
+    seen = next(c for c in "жщфэ" if lg.scores(pieces, [c], lg._weights(p))[0, 0] < math.log(lg.UNKNOWN))  # in the vocabulary
+    for run in (seen * 64, "\u9fd5" * 64, "a" + seen * 62 + "b"):
+        got = lg.scores(pieces, ["▁the", run, seen], lg._weights(p))
+        assert np.isfinite(got).all()
+    # in logarithms as by products
+    q = np.full((pieces.size + 1, 2), 1e-4) * [1, 3]
+    n, edges = pieces.edges(["▁internation", "▁Hellos"])
+    assert lg._log_forward(edges, lg._weights(q), (2, 2))[n, [0, 1]] + n[:, None] * np.log(lg.PER_CHAR) == pytest.approx(lg.scores(pieces, ["▁internation", "▁Hellos"], lg._weights(q)))
+    tried, count = ["▁the", "\u9fd5" * 64], np.array([2.0, 3.0])
+    flat = np.full(pieces.size + 1, 1 / pieces.size)
+    flat[pieces.size] = lg.UNKNOWN
+    got = lg.expected(pieces, tried, count, lg._weights(flat))
+    assert np.isfinite(got).all() and got[pieces.size] == pytest.approx(192)
+    w = lg._weights(np.full(pieces.size + 1, 1e-4))
+    assert lg._log_expected(pieces, ["▁the", "▁cat"], np.array([2.0, 1.0]), w) == pytest.approx(lg.expected(pieces, ["▁the", "▁cat"], np.array([2.0, 1.0]), w))
+    # the other words still decide
+    langs, small = ["aa", "bb"], np.full((pieces.size + 1, 2), 0.1 / 60e6)
+    small[:, 1] *= 1.01
+    small[pieces.size] = lg.UNKNOWN
+    r = lg.predict(frame([(1, "the cat " + seen * 64)]), langs, small, MODEL, ["doc_id"]).first()
+    assert r.lang_pred == "bb" and 0.5 < r.score <= 1
