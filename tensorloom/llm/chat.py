@@ -6,11 +6,9 @@ the old output is not a prefix of the new one, the template has rewritten histor
 so instead of getting a wrong span.  Where a turn's own text lies inside its span is found the same
 way, by rendering the prefix again with two probe texts in its place.
 
-Rendering all prefixes costs the square of a conversation's length.  Conversations of up to
-``WINDOW`` turns are rendered whole.  Longer ones are rendered in overlapping windows of that many
-turns, each beginning with ``CONTEXT`` turns already placed; this is exact for templates that look
-back at most ``CONTEXT`` turns, and every window is compared with one rendering of all its turns.
-Rows arrive sorted and are consumed as a stream, so a task holds one window, not one conversation.
+All prefixes are rendered from the conversation's true start, whatever its length, so templates may
+look back or forward as they like; this costs the square of a conversation's length.  Rows arrive
+sorted, and a task holds one conversation at a time.
 """
 
 from __future__ import annotations
@@ -26,9 +24,6 @@ from pyspark.sql import functions as F
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
-WINDOW = 64
-CONTEXT = 2
-
 # --- the template -------------------------------------------------------------------------------
 CONTROL = re.compile(r"\\|</?s>|\[/?INST\]|<</?ROLE")
 
@@ -82,15 +77,9 @@ def read_back(text: str) -> list[Turn]:
 PROBES = ("a", "b")
 
 
-def spans(template: Template, turns: list[Turn], placed: int = 0) -> tuple[list[dict], str]:
-    """For each turn after the first ``placed``: what it added and where its text lies in that.
-
-    Returns one dict per turn, ``added``, ``begin``, ``end`` (of the rendered text in ``added``) and
-    ``rewrites`` (history changed; then ``added`` is the whole output), and the last output.
-    """
-    before = template(turns[:placed])
-    found = []
-    for i in range(placed, len(turns)):
+def _spans(template: Template, turns: list[Turn]) -> Iterator[tuple[dict, str]]:
+    before = template([])
+    for i in range(len(turns)):
         now = template(turns[: i + 1])
         one, two = (template([*turns[:i], (turns[i][0], p)]) for p in PROBES)
         rewrites = not now.startswith(before)
@@ -99,32 +88,30 @@ def spans(template: Template, turns: list[Turn], placed: int = 0) -> tuple[list[
         tail = len(one) - begin - 1
         hidden = len(one) != len(two) or begin == len(one) or begin < base  # the text isn't shown once, or is shown earlier
         end = len(now) - tail
-        found.append({"added": now[base:], "begin": None if hidden else begin - base, "end": None if hidden else end - base, "rewrites": rewrites})
+        yield {"added": now[base:], "begin": None if hidden else begin - base, "end": None if hidden else end - base, "rewrites": rewrites}, now
         before = now
-    return found, before
+
+
+def spans(template: Template, turns: list[Turn]) -> tuple[list[dict], str]:
+    """For each turn: what it added and where its text lies in that.
+
+    Returns one dict per turn, ``added``, ``begin``, ``end`` (of the rendered text in ``added``) and
+    ``rewrites`` (history changed; then ``added`` is the whole output), and the last output.
+    """
+    found, last = [], template([])
+    for span, last in _spans(template, turns):
+        found.append(span)
+    return found, last
 
 
 def rendered(template: Template, turns: Iterator[Turn]) -> Iterator[tuple[Turn, dict]]:
-    """(turn, span) of each turn of a conversation of any length, one window in memory."""
-    held: list[Turn] = []
-    first, more = True, True
-    turns = iter(turns)
-    while more:
-        placed = 0 if first else len(held)
-        head = len(template(held)) if placed else 0
-        for turn in turns:
-            held.append(turn)
-            if len(held) == WINDOW:
-                break
-        more = len(held) == WINDOW
-        found, whole = spans(template, held, placed)
-        if not any(f["rewrites"] for f in found) and len(template([])) * (not placed) + head + sum(len(f["added"]) for f in found) != len(whole):
-            raise AssertionError("spans don't add up to the rendering")
-        if first and found and not found[0]["rewrites"]:  # what the template writes before any turn
-            start = template([])
-            found[0] = found[0] | {"added": start + found[0]["added"], "begin": _plus(found[0]["begin"], len(start)), "end": _plus(found[0]["end"], len(start))}
-        yield from zip(held[placed:], found, strict=True)
-        held, first = held[-CONTEXT:], False
+    """(turn, span) of each turn of a conversation of any length, handed on one by one."""
+    held = list(turns)
+    start = template([])
+    for i, (span, _) in enumerate(_spans(template, held)):
+        if i == 0 and not span["rewrites"]:  # what the template writes before any turn
+            span = span | {"added": start + span["added"], "begin": _plus(span["begin"], len(start)), "end": _plus(span["end"], len(start))}
+        yield held[i], span
 
 
 def _plus(a: int | None, b: int) -> int | None:

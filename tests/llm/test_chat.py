@@ -47,3 +47,17 @@ def test_nulls_and_repeats(spark):
     got = {r.conv_id: r.n_turns for r in chat.digests(chat.format_turns(spark.createDataFrame(rows, SCHEMA))).collect()}
     assert got == {None: 2, 3: 2, 4: 1}
     assert not chat.digests(chat.format_turns(spark.createDataFrame([], SCHEMA))).collect()
+
+
+def test_long_conversations_are_rendered_from_their_start():
+    def last_ten(turns):
+        return "".join(f"<{t}>" for _, t in turns[-10:])
+
+    def numbered(turns):
+        return "".join(f"{i}:{t};" for i, (_, t) in enumerate(turns))
+
+    conversation = [("user", f"t{i}") for i in range(150)]
+    found = [f for _, f in chat.rendered(last_ten, iter(conversation))]
+    assert [f["rewrites"] for f in found] == [i >= 10 for i in range(150)]
+    assert all(f["added"] == last_ten(conversation[: i + 1]) for i, f in enumerate(found) if i >= 10)
+    assert "".join(f["added"] for _, f in chat.rendered(numbered, iter(conversation))) == numbered(conversation)
