@@ -65,13 +65,6 @@ def _elementwise() -> str:
         "Round": "round_even(x, 0)", "Relu": "greatest(x, 0)", "Relu6": "least(greatest(x, 0), 6)", "LeakyRelu": "CASE WHEN x < 0 THEN x * 0.01::DOUBLE ELSE x END",
         "GeluApprox": "0.5 * x * (1 + tanh(0.7978845608028654::DOUBLE * (x + 0.044715::DOUBLE * x * x * x)))", "Silu": f"x * {sigmoid}", "QuickGelu": "x / (1 + exp(-(1.702::DOUBLE * x)))", "HardSwish": f"x * {clip6} / 6",
         "HardSigmoid": "least(greatest(x / 6 + 0.5, 0), 1)", "Mish": "x * tanh(ln(1 + exp(x)))", "Elu": "CASE WHEN x < 0 THEN exp(x) - 1 ELSE x END", "Identity": "x", "Dropout": "x", "Clip": "least(greatest(x, -1), 1)",
-        "canonical_groups": """WITH h AS (SELECT p_partkey, p_name, hex(encode(p_name)) AS h FROM part),
-d AS (SELECT p_partkey, h, list_transform(range(1, length(h) + 1), lambda i: instr('0123456789ABCDEF', substr(h, i, 1)) - 1) AS d FROM h),
-q AS (SELECT p_partkey, list_transform(range(0, len(d)), lambda i: d[i + 2 - i % 2 * 2]) AS four, list_transform(range(0, len(d) // 2), lambda i: d[2 * i + 1] * 16 + d[2 * i + 2]) AS eight FROM d)
-SELECT p_partkey, len(four) AS n, list_sum(list_transform(four, lambda v, i: CASE (i - 1) // 16 WHEN 0 THEN 0.5::DOUBLE * (v - 8) WHEN 1 THEN 0.25::DOUBLE * v ELSE v END)) AS four,
-  list_sum(list_transform(eight, lambda v, i: CASE (i - 1) // 8 WHEN 0 THEN 0.5::DOUBLE * (v - 8) WHEN 1 THEN 0.25::DOUBLE * v ELSE v END)) AS eight FROM q""",
-        "sidecar_configs": """SELECT p_partkey, 'AwqGemm4' AS scheme, CASE WHEN p_partkey % 3 < 2 THEN p_size::BIGINT ELSE 4 END AS bits, CASE WHEN p_partkey % 3 = 0 THEN 64 ELSE 128 END::BIGINT AS group_size,
-  CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN 4 ELSE 8 END::BIGINT AS rank, CASE p_partkey % 3 WHEN 0 THEN 2.5 WHEN 1 THEN 4 ELSE 8 END::DOUBLE AS alpha, CASE WHEN p_partkey % 3 = 1 THEN 2 ELSE 0 END AS modules, CASE WHEN p_partkey % 3 = 1 THEN 'X' ELSE 'LORA' END AS adapter_type FROM part""",
     }
     return f"""WITH r AS (SELECT l_returnflag, l_quantity / 10 AS p, l_quantity / 10 - 2.5::DOUBLE AS x FROM lineitem)
 SELECT l_returnflag, {", ".join(f'round(sum(CAST({v} AS DOUBLE)), 4) AS "{k}"' for k, v in sql.items())} FROM r GROUP BY l_returnflag"""
