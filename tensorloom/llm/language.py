@@ -13,6 +13,7 @@ is bounded whatever the input.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,20 +31,20 @@ SPACE = "▁"
 ITERATIONS = 3
 #: Pseudo-count of every piece, and the probability of a character that no piece covers.
 SMOOTHING, UNKNOWN = 0.1, 1e-7
-#: Words kept per task, texts handled at once, and words put through the forward algorithm at once.
-CACHE_WORDS, ROWS, LOT = 200_000, 256, 20_000
+#: Words kept per task, characters of texts handled at once, and (divided by languages) of words put through the forward algorithm at once.
+CACHE_WORDS, TEXT_CHARS, LOT_CHARS = 200_000, 2_000_000, 400_000
 #: Typical probability per character; products are scaled by it so that they stay near 1.
 PER_CHAR = 0.05
-#: A word with a smaller sum at any place is summed again in logarithms.
-TINY = 1e-200
-#: A word is cut after so many characters, which bounds the forward table.
-LONGEST = 64
+#: Sums of words more than twice as long are divided by their largest every so many characters.
+RESCALE = 8
+#: Languages that can be told apart, at most: a task holds a number for each piece and language.
+MAX_LANGS = 400
 
 LETTER = re.compile(r"[^\W\d_]")
 
 
 class Pieces:
-    """The vocabulary as a trie whose edges are sorted, so that many characters are looked up at once."""
+    """The vocabulary as a trie whose edges are hashed, so that many characters are looked up at once."""
 
     def __init__(self, model_path: str) -> None:
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -66,40 +67,115 @@ class Pieces:
                     ends[trie[key]] = -1
                 node = trie[key]
             ends[node] = i
-        self.keys = np.array(sorted(trie), np.int64)
-        self.child = np.array([trie[k] for k in self.keys.tolist()], np.int64)
-        self.ends = np.array([ends[i] for i in range(len(ends))], np.int64)
-
-    def edges(self, words: list[str]) -> tuple[np.ndarray, list[list[tuple[np.ndarray, int, np.ndarray]]]]:
-        """Lengths, and for each position the (rows, length, pieces) that start there; the unknown is piece ``size``."""
-        n = np.array([len(w) for w in words])
-        width = int(n.max())
-        chars = np.zeros((len(words), width), np.int64)
-        flat = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-        chars[np.arange(width) < n[:, None]] = flat
-        out = []
-        for at in range(width):
-            rows, found = np.flatnonzero(n > at), []
-            node = np.zeros(len(rows), np.int64)
-            for length in range(1, min(self.longest, width - at) + 1):
-                key = node << 21 | chars[rows, at + length - 1]
-                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                there = self.keys[place] == key
-                if length == 1:
-                    piece = np.where(there, self.ends[self.child[place]], -1)
-                    found.append((rows, 1, np.where(piece < 0, self.size, piece)))
-                rows, node = rows[there], self.child[place[there]]
-                if length > 1:
-                    ends = self.ends[node]
-                    whole = ends >= 0
-                    if whole.any():
-                        found.append((rows[whole], length, ends[whole]))
-                longer = n[rows] > at + length
-                rows, node = rows[longer], node[longer]
-                if not len(rows):
-                    break
-            out.append(found)
-        return n, out
+        self.ends = np.array([ends[i] for i in range(len(ends))], np.int32)
+        self.first = np.zeros(0x110000, np.int32)  # child of the root by character, 0 if none
+        for key, node in trie.items():
+            if key < 1 << 21:
+                self.first[key] = node
+        self.bits = (4 * len(trie)).bit_length()
+        self.keys, self.child = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        keys, nodes = np.array(list(trie), np.int64), np.array(list(trie.values()), np.int32)
+        slot, left = self._slots(keys), np.arange(len(keys))
+        while len(left):  # linear probing, many at once
+            free = left[self.keys[slot[left]] < 0]
+            _, one = np.unique(slot[free], return_index=True)
+            own = free[one]
+            self.keys[slot[own]], self.child[slot[own]] = keys[own], nodes[own]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = slot[left] + 1 & (1 << self.bits) - 1
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """Children of nodes by characters; 0 where there is none."""
+        key = node.astype(np.int64) << 21 | char
+        slot = self._slots(key)
+        there = self.keys[slot]
+        out = np.where(there == key, self.child[slot], 0)
+        left = np.flatnonzero((there != key) & (there >= 0))
+        while len(left):
+            slot[left] = slot[left] + 1 & (1 << self.bits) - 1
+            there = self.keys[slot[left]]
+            hit = there == key[left]
+            out[left[hit]] = self.child[slot[left[hit]]]
+            left = left[~hit & (there >= 0)]
+        return out
+
+    def lattice(self, words: list[str]) -> Lattice:
+        """All pieces at all places of the words; a single character that isn't a piece is piece ``size``."""
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        at = np.arange(len(chars))
+        stop = np.repeat(np.cumsum(n), n)  # where each place's word ends
+        node = self.first[chars]
+        piece = np.where(node > 0, self.ends[node], -1)
+        starts, lengths, found = [at], [np.ones(len(at), np.int64)], [np.where(piece < 0, self.size, piece)]
+        here = np.flatnonzero((node > 0) & (stop > at + 1))
+        node = node[here]
+        for length in range(2, self.longest + 1):
+            if not len(here):
+                break
+            node = self._step(node, chars[here + length - 1])
+            on = node > 0
+            here, node = here[on], node[on]
+            piece = self.ends[node]
+            whole = piece >= 0
+            starts.append(here[whole])
+            lengths.append(np.full(int(whole.sum()), length))
+            found.append(piece[whole])
+            on = stop[here] > here + length
+            here, node = here[on], node[on]
+        return Lattice(n, np.concatenate(starts), np.concatenate(lengths), np.concatenate(found))
+
+
+class Lattice:
+    """Pieces that start at places of words laid end to end: ``start``, ``length`` and ``piece`` of each edge.
+
+    In tables of sums a word of n characters has n + 1 places, 0 to n, after those of the words before.
+    """
+
+    def __init__(self, n: np.ndarray, start: np.ndarray, length: np.ndarray, piece: np.ndarray) -> None:
+        self.n, self.length, self.piece = n, length, piece
+        begin = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
+        self.word = np.repeat(np.arange(len(n)), n)[start]
+        self.offset = start - begin[self.word]
+        self.begin = begin + np.arange(len(n))  # of a word in the tables
+
+    def forward(self, scaled: Weights, longest: int, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """[place, language] sums over all ways from a word's begin (``back``: end) to a place, and the
+        logarithm of what each was divided by.
+
+        All edges that leave one offset end at different places, so each offset is one addition.  Long
+        words are divided by their largest sum every ``RESCALE`` characters, in each language on its own.
+        """
+        size = int(self.n.sum()) + len(self.n)
+        sums, logs = np.zeros((2, size, scaled.probability.shape[1]))
+        offset = self.n[self.word] - self.offset - self.length if back else self.offset
+        begin = self.begin + self.n if back else self.begin
+        sign = -1 if back else 1
+        sums[begin] = 1
+        last = int(self.n.max(initial=0))
+        order = np.argsort(offset.astype(np.uint16) if last < 1 << 16 else offset, kind="stable")  # short keys sort by radix
+        bounds = np.searchsorted(offset[order], np.arange(last + 1))
+        source = (begin[self.word] + sign * offset)[order]
+        target = source + sign * self.length[order]
+        weight = scaled.of(self.piece[order], self.length[order])
+        long = np.flatnonzero(self.n > 2 * RESCALE)
+        for at in range(len(bounds) - 1):
+            if at and at % RESCALE == 0 and len(long):
+                long = long[self.n[long] > at]
+                ahead = np.minimum(at + np.arange(longest + 1), self.n[long][:, None])
+                places = begin[long][:, None] + sign * ahead
+                top = sums[places].max(axis=1)
+                sums[places] /= top[:, None]
+                logs[begin[long] + sign * at] += np.log(top)
+            edges = slice(bounds[at], bounds[at + 1])
+            sums[target[edges]] += sums[source[edges]] * weight[edges]
+        for w in np.flatnonzero(self.n > 2 * RESCALE):  # a place's divisor holds up to the word's end
+            own = slice(self.begin[w], self.begin[w] + self.n[w] + 1)
+            logs[own] = np.cumsum(logs[own][::sign], axis=0)[::sign]
+        return sums, logs
 
 
 @lru_cache(maxsize=2)
@@ -107,95 +183,60 @@ def pieces_of(model_path: str) -> Pieces:
     return Pieces(model_path)
 
 
-def _weights(probability: np.ndarray) -> list[np.ndarray]:
-    """[length] -> probabilities, scaled by the typical probability of as many characters."""
-    return [probability / PER_CHAR**k for k in range(33)]
-
+class Weights:
+    """[piece, language] probabilities, and by length the inverse of as many typical characters' probability."""
 
-def _tiny(alpha: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Words of which a forward sum, in any language, is too small to be held as a plain product."""
-    small = alpha.reshape(*alpha.shape[:2], -1).min(axis=2) < TINY
-    return np.flatnonzero((small & (np.arange(len(alpha))[:, None] <= n)).any(axis=0))
+    def __init__(self, probability: np.ndarray) -> None:
+        self.probability = probability if probability.ndim == 2 else probability[:, None]
+        self.factor = PER_CHAR ** -np.arange(64.0)
 
+    def of(self, piece: np.ndarray, length: np.ndarray) -> np.ndarray:
+        out = self.probability[piece]
+        out *= self.factor[length][:, None]
+        return out
 
-def _log_forward(edges: list, scaled: list[np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-    """[place, word, ...] logarithms of the forward sums."""
-    logs = np.full((len(edges) + 1, *shape), -np.inf)
-    logs[0] = 0
-    for at, starts in enumerate(edges):
-        for rows, length, piece in starts:
-            logs[at + length, rows] = np.logaddexp(logs[at + length, rows], logs[at, rows] + np.log(scaled[length][piece]))
-    return logs
 
-
-def _log_expected(pieces: Pieces, words: list[str], count: np.ndarray, scaled: list[np.ndarray]) -> np.ndarray:
-    n, edges = pieces.edges(words)
-    alpha = _log_forward(edges, scaled, (len(words),))
-    beta, total = np.full(alpha.shape, -np.inf), np.zeros(pieces.size + 1)
-    beta[n, np.arange(len(words))] = np.log(count) - alpha[n, np.arange(len(words))]
-    for at in range(len(edges) - 1, -1, -1):
-        for rows, length, piece in edges[at]:
-            part = np.log(scaled[length][piece]) + beta[at + length, rows]
-            beta[at, rows] = np.logaddexp(beta[at, rows], part)
-            total += np.bincount(piece, np.exp(alpha[at, rows] + part), len(total))
-    return total
+def lots(words: list[str], langs: int) -> Iterator[np.ndarray]:
+    """Places of words, those of like length together, in lots of bounded characters; a word is never cut."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(size, kind="stable")
+    lot = np.cumsum(size[order]) // max(LOT_CHARS // max(langs, 1), 1)
+    for part in np.split(order, np.flatnonzero(np.diff(lot)) + 1):
+        if len(part):
+            yield part
 
 
-def scores(pieces: Pieces, words: list[str], scaled: list[np.ndarray]) -> np.ndarray:
-    """[word, language] log of the sum over all segmentations; ``scaled[k]`` is [piece, language]."""
-    out = np.empty((len(words), scaled[0].shape[1]))
-    order = np.argsort([len(w) for w in words], kind="stable")  # words of like length share a table
-    for lot in range(0, len(order), LOT):
-        own = order[lot : lot + LOT]
-        n, edges = pieces.edges([words[i] for i in own])
-        alpha = np.zeros((len(edges) + 1, len(own), out.shape[1]))
-        alpha[0] = 1
-        for at, starts in enumerate(edges):
-            for rows, length, piece in starts:
-                alpha[at + length, rows] += alpha[at, rows] * scaled[length][piece]
-        again = _tiny(alpha, n)
-        sums = alpha[n, np.arange(len(own))]
-        sums[again] = 1
-        sums = np.log(sums)
-        if len(again):
-            m, edges = pieces.edges([words[own[i]] for i in again])
-            sums[again] = _log_forward(edges, scaled, (len(again), out.shape[1]))[m, np.arange(len(again))]
-        out[own] = sums + n[:, None] * np.log(PER_CHAR)
+def scores(pieces: Pieces, words: list[str], scaled: Weights) -> np.ndarray:
+    """[word, language] log of the sum over all segmentations."""
+    out = np.empty((len(words), scaled.probability.shape[1]))
+    for own in lots(words, out.shape[1]):
+        lattice = pieces.lattice([words[i] for i in own])
+        sums, logs = lattice.forward(scaled, pieces.longest)
+        last = lattice.begin + lattice.n
+        out[own] = np.log(sums[last]) + logs[last] + lattice.n[:, None] * math.log(PER_CHAR)
     return out
 
 
-def expected(pieces: Pieces, words: list[str], count: np.ndarray, scaled: list[np.ndarray]) -> np.ndarray:
+def expected(pieces: Pieces, words: list[str], count: np.ndarray, scaled: Weights) -> np.ndarray:
     """Expected number of each piece over all segmentations of counted words in one language."""
     total = np.zeros(pieces.size + 1)
-    order = np.argsort([len(w) for w in words], kind="stable")
-    for lot in range(0, len(order), LOT):
-        own = order[lot : lot + LOT]
-        n, edges = pieces.edges([words[i] for i in own])
-        alpha, beta = np.zeros((2, len(edges) + 1, len(own)))
-        alpha[0] = 1
-        for at, starts in enumerate(edges):
-            for rows, length, piece in starts:
-                alpha[at + length, rows] += alpha[at, rows] * scaled[length][piece]
-        again, ends = _tiny(alpha, n), alpha[n, np.arange(len(own))]
-        alpha[:, again] = 0
-        ends[again] = np.inf  # these words count below
-        beta[n, np.arange(len(own))] = count[own] / ends
-        for at in range(len(edges) - 1, -1, -1):
-            for rows, length, piece in edges[at]:
-                part = scaled[length][piece] * beta[at + length, rows]
-                beta[at, rows] += part
-                total += np.bincount(piece, alpha[at, rows] * part, len(total))
-        if len(again):
-            total += _log_expected(pieces, [words[own[i]] for i in again], count[own[again]], scaled)
+    for own in lots(words, 2):
+        lattice = pieces.lattice([words[i] for i in own])
+        alpha, alog = (t[:, 0] for t in lattice.forward(scaled, pieces.longest))
+        beta, blog = (t[:, 0] for t in lattice.forward(scaled, pieces.longest, back=True))
+        last = lattice.begin + lattice.n
+        begin = lattice.begin[lattice.word] + lattice.offset
+        end = begin + lattice.length
+        share = alpha[begin] * scaled.of(lattice.piece, lattice.length)[:, 0] * beta[end]
+        if (lattice.n > 2 * RESCALE).any():
+            share = share * np.exp(alog[begin] + blog[end] - alog[last][lattice.word])
+        total += np.bincount(lattice.piece, share * (count[own] / alpha[last])[lattice.word], len(total))
     return total
 
 
 def split(text: str) -> list[str]:
-    """Words with their mark in front; runs without white space are cut every LONGEST characters."""
-    words = [SPACE + w for w in text.split()]
-    if max(map(len, words), default=0) > LONGEST:
-        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-    return words
+    """Words with their mark in front."""
+    return [SPACE + w for w in text.split()]
 
 
 def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -212,7 +253,10 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         yield flushed(held)
 
     def flushed(held: dict[str, Counter]) -> pd.DataFrame:
-        return pd.DataFrame([(lang, w, n) for lang, c in held.items() for w, n in c.items()], columns=["lang", "word", "n"], dtype=object).astype({"n": "int64"})
+        langs, sizes = pd.Series(list(held), dtype=object), [len(c) for c in held.values()]
+        words = pd.Series([w for c in held.values() for w in c], dtype=object)
+        counts = np.fromiter((n for c in held.values() for n in c.values()), np.int64, len(words))
+        return pd.DataFrame({"lang": langs.repeat(sizes).array, "word": words, "n": counts})
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
     return rows.mapInPandas(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -221,17 +265,19 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 def learn(counts: DataFrame, model_path: str, iterations: int = ITERATIONS) -> tuple[list[str], np.ndarray]:
     """Languages, and [piece, language] probabilities, from (lang, word, n) rows."""
     size = pieces_of(model_path).size
-    langs = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]  # languages are few
+    langs = [r[0] for r in counts.select("lang").distinct().orderBy("lang").limit(MAX_LANGS + 1).collect()]
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     probability = np.full((size + 1, len(langs)), 1 / size)
     probability[size] = UNKNOWN
     for _ in range(iterations if langs else 0):
-        current = dict(zip(langs, (_weights(probability[:, i]) for i in range(len(langs))), strict=True))
+        column = {lang: i for i, lang in enumerate(langs)}
 
-        def run(frames: Iterator[pd.DataFrame], current=current) -> Iterator[pd.DataFrame]:
+        def run(frames: Iterator[pd.DataFrame], probability=probability) -> Iterator[pd.DataFrame]:
             pieces, total = pieces_of(model_path), {}
             for frame in frames:
                 for lang, part in frame.groupby("lang"):
-                    got = expected(pieces, part["word"].tolist(), part["n"].to_numpy(float), current[lang])
+                    got = expected(pieces, part["word"].tolist(), part["n"].to_numpy(float), Weights(probability[:, column[lang]]))
                     total[lang] = total.get(lang, 0) + got
             for lang, got in total.items():
                 there = np.flatnonzero(got)
@@ -251,14 +297,14 @@ def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, model_pa
     kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces, scaled = pieces_of(model_path), _weights(probability)
+        pieces, scaled = pieces_of(model_path), Weights(probability)
         known: dict[str, int] = {}
         table = np.empty((0, len(langs)))
         for whole in frames:
-            for at in range(0, len(whole), ROWS):
-                frame = whole.iloc[at : at + ROWS]
-                texts = [t if isinstance(t, str) and LETTER.search(t) else "" for t in frame["_text"]]
-                split_ = [split(t) for t in texts]
+            texts = [t if isinstance(t, str) and LETTER.search(t) else "" for t in whole["_text"]]
+            lot = np.cumsum([len(t) for t in texts]) // TEXT_CHARS
+            for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(lot)) + 1):
+                split_ = [split(texts[i]) for i in part]
                 if len(known) > CACHE_WORDS:
                     known, table = {}, table[:0]
                 new = list({w for s in split_ for w in s if w not in known})
@@ -275,7 +321,7 @@ def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, model_pa
                     best = int(sums.argmax())
                     pred.append(langs[best])
                     score.append(float(1 / np.exp(np.maximum(sums - sums[best], -700)).sum()))
-                yield frame[keep].assign(lang_pred=pred, score=score)
+                yield whole[keep].iloc[part].assign(lang_pred=pred, score=score)
 
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     return rows.mapInPandas(run, ", ".join([*kinds, "lang_pred string", "score double"]))
@@ -285,7 +331,8 @@ def identify(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     """Language of every text, learnt from two thirds of the rows.
 
     Rows whose crc32(id as text) mod 3 is 1 are held out; the others with a language and a text are
-    learnt from.  Result, a row per input row: id, held_out, lang_pred, score.  A null text, or one
+    learnt from.  Result, a row per input row: id, held_out, lang_pred, score.  More than ``MAX_LANGS`` languages to learn are an
+    error.  A null text, or one
     without a letter, is ``und`` with score 0; so is everything where nothing can be learnt.  A null
     id isn't held out.  Repeated rows count repeatedly; an empty table gives no rows; further
     columns aren't read.

@@ -23,7 +23,7 @@ def test_forward_sums_all_segmentations():
     p = rng.random((pieces.size + 1, 2)) * 1e-3
     p[pieces.size] = lg.UNKNOWN
     tried = ["▁the", "▁Hellos", "x", "▁日本鿕語", "▁aé!", "▁internation"]
-    got = lg.scores(pieces, tried, lg._weights(p))
+    got = lg.scores(pieces, tried, lg.Weights(p))
     for word, row in zip(tried, got, strict=True):
         total = np.zeros(2)
         for cuts in itertools.product([0, 1], repeat=len(word) - 1):
@@ -37,7 +37,7 @@ def test_forward_sums_all_segmentations():
 def test_expected_counts_cover_the_characters():
     pieces = lg.pieces_of(MODEL)
     p = np.full(pieces.size + 1, 1e-4)
-    got = lg.expected(pieces, ["▁the", "▁cat"], np.array([2.0, 1.0]), lg._weights(p))
+    got = lg.expected(pieces, ["▁the", "▁cat"], np.array([2.0, 1.0]), lg.Weights(p))
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     m = pb.ModelProto()
@@ -74,24 +74,52 @@ def test_long_runs_of_unseen_characters_stay_finite(spark, frame):
     pieces = lg.pieces_of(MODEL)
     p = np.full((pieces.size + 1, 2), 0.1 / 60e6) * [1, 2]
     p[pieces.size] = lg.UNKNOWN
-    seen = next(c for c in "жщфэ" if lg.scores(pieces, [c], lg._weights(p))[0, 0] < math.log(lg.UNKNOWN))  # in the vocabulary
+    seen = next(c for c in "жщфэ" if lg.scores(pieces, [c], lg.Weights(p))[0, 0] < math.log(lg.UNKNOWN))  # in the vocabulary
     for run in (seen * 64, "\u9fd5" * 64, "a" + seen * 62 + "b"):
-        got = lg.scores(pieces, ["▁the", run, seen], lg._weights(p))
+        got = lg.scores(pieces, ["▁the", run, seen], lg.Weights(p))
         assert np.isfinite(got).all()
-    # in logarithms as by products
-    q = np.full((pieces.size + 1, 2), 1e-4) * [1, 3]
-    n, edges = pieces.edges(["▁internation", "▁Hellos"])
-    assert lg._log_forward(edges, lg._weights(q), (2, 2))[n, [0, 1]] + n[:, None] * np.log(lg.PER_CHAR) == pytest.approx(lg.scores(pieces, ["▁internation", "▁Hellos"], lg._weights(q)))
     tried, count = ["▁the", "\u9fd5" * 64], np.array([2.0, 3.0])
     flat = np.full(pieces.size + 1, 1 / pieces.size)
     flat[pieces.size] = lg.UNKNOWN
-    got = lg.expected(pieces, tried, count, lg._weights(flat))
+    got = lg.expected(pieces, tried, count, lg.Weights(flat))
     assert np.isfinite(got).all() and got[pieces.size] == pytest.approx(192)
-    w = lg._weights(np.full(pieces.size + 1, 1e-4))
-    assert lg._log_expected(pieces, ["▁the", "▁cat"], np.array([2.0, 1.0]), w) == pytest.approx(lg.expected(pieces, ["▁the", "▁cat"], np.array([2.0, 1.0]), w))
     # the other words still decide
     langs, small = ["aa", "bb"], np.full((pieces.size + 1, 2), 0.1 / 60e6)
     small[:, 1] *= 1.01
     small[pieces.size] = lg.UNKNOWN
     r = lg.predict(frame([(1, "the cat " + seen * 64)]), langs, small, MODEL, ["doc_id"]).first()
     assert r.lang_pred == "bb" and 0.5 < r.score <= 1
+
+
+def by_logarithms(known, word, p, size):
+    """Logarithms of the forward sums, place by place."""
+    sums = [0.0, *[-math.inf] * len(word)]
+    for end in range(1, len(word) + 1):
+        for begin in range(max(0, end - 40), end):
+            piece = word[begin:end]
+            if piece in known or len(piece) == 1:
+                sums[end] = np.logaddexp(sums[end], sums[begin] + math.log(p[known.get(piece, size)]))
+    return sums[-1]
+
+
+def test_words_of_any_length_are_summed_whole(rng):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    m.ParseFromString(open(MODEL, "rb").read())
+    known = {x.piece: i for i, x in enumerate(m.pieces) if x.type == 1}
+    pieces = lg.pieces_of(MODEL)
+    p = np.random.default_rng(1).random((pieces.size + 1, 2)) * 1e-3
+    p[::3] = 1e-12
+    p[pieces.size] = lg.UNKNOWN
+    tried = ["▁" + "".join(rng.choice("theinatio\u9fd5é") for _ in range(n)) for n in (1, 8, 15, 16, 17, 18, 63, 64, 65, 200, 1500)]
+    got = lg.scores(pieces, tried, lg.Weights(p))
+    for word, row in zip(tried, got, strict=True):
+        assert row == pytest.approx([by_logarithms(known, word, p[:, i], pieces.size) for i in range(2)])
+    # expected counts of long words: each character is in one piece
+    for word in tried:
+        n = lg.expected(pieces, [word], np.array([3.0]), lg.Weights(p[:, 0]))
+        sizes = np.array([len(x.piece) for x in m.pieces] + [1])
+        assert n @ sizes == pytest.approx(3 * len(word))
+    together = lg.expected(pieces, tried, np.ones(len(tried)), lg.Weights(p[:, 0]))
+    assert together == pytest.approx(sum(lg.expected(pieces, [w], np.ones(1), lg.Weights(p[:, 0])) for w in tried))
