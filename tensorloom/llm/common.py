@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than space and \t \n \v \f \r.
@@ -17,10 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared checkpoint folder; a temporary one only in local mode where none is set, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -37,11 +46,44 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a few numbers each that may be sent to every executor.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a few numbers each that may be sent to every executor, and bytes of wider ones.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64_000_000
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A narrow table, marked for broadcast if it is counted to have at most ``rows`` rows; else it is shuffled."""
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, width: Column | None = None) -> DataFrame:
+    """A table marked for broadcast if it is counted to have at most ``rows`` rows, and at most
+    ``BROADCAST_BYTES`` where rows of unequal size give their ``width`` in bytes; else it is shuffled."""
     df = cut(df)
-    return F.broadcast(df) if df.count() <= rows else df
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if width is None else width), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= BROADCAST_BYTES else df
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that ``df`` doesn't have, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def text_print(text: Column) -> Column:
+    """Hash that tells texts of one id apart; null has one of its own."""
+    return F.xxhash64(F.coalesce(text, F.lit("\0null")))
+
+
+def released(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function of batches, which gives the worker's free memory back when its task is done."""
+
+    @functools.wraps(rows)
+    def run(batches: Iterator) -> Iterator:
+        yield from rows(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # elsewhere than on glibc nothing is to be done
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run

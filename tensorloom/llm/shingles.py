@@ -40,3 +40,20 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
 def fingerprint(tokens: np.ndarray) -> int:
     """Signed 64-bit hash of a set."""
     return int(np.array(xxhash.xxh3_64_intdigest(tokens.tobytes()), np.uint64).astype(np.int64))
+
+
+_BASE = 0x9E3779B97F4A7C15
+_powers = np.ones((2, 1), np.uint64)
+
+
+def rolled(h: np.ndarray, n: int) -> np.ndarray:
+    """Hash of every n hashes in a row at a cost that doesn't grow with n: differences of a running polynomial's sums."""
+    global _powers
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    if _powers.shape[1] < len(h):
+        both = np.full((2, 1 << len(h).bit_length()), 1, np.uint64)
+        both[0, 1:], both[1, 1:] = _BASE, pow(_BASE, -1, 1 << 64)
+        _powers = np.cumprod(both, axis=1, dtype=np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers[0, : len(h)], dtype=np.uint64)])
+    return mixed((sums[n:] - sums[:-n]) * _powers[1, : len(h) - n + 1] + np.uint64(n))
