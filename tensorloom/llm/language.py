@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 
 SPACE = "▁"
 #: Iterations; likelihood hardly moves afterwards.
@@ -259,7 +259,7 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         return pd.DataFrame({"lang": langs.repeat(sizes).array, "word": words, "n": counts})
 
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).dropna()
-    return rows.mapInPandas(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return rows.mapInPandas(released(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def learn(counts: DataFrame, model_path: str, iterations: int = ITERATIONS) -> tuple[list[str], np.ndarray]:
@@ -284,7 +284,7 @@ def learn(counts: DataFrame, model_path: str, iterations: int = ITERATIONS) -> t
                 yield pd.DataFrame({"lang": pd.Series([lang] * len(there), dtype=object), "piece": there, "n": got[there]})
 
         # rounded, so that the order of additions leaves no trace
-        found = counts.mapInPandas(run, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.round(F.sum("n"), 3).alias("n")).toPandas()
+        found = counts.mapInPandas(released(run), "lang string, piece long, n double").groupBy("lang", "piece").agg(F.round(F.sum("n"), 3).alias("n")).toPandas()
         weight = np.full((size + 1, len(langs)), SMOOTHING)
         weight[found["piece"].to_numpy(int), found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(int)] += found["n"].to_numpy(float)
         probability = weight / weight[:size].sum(axis=0)
@@ -324,7 +324,7 @@ def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, model_pa
                 yield whole[keep].iloc[part].assign(lang_pred=pred, score=score)
 
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    return rows.mapInPandas(run, ", ".join([*kinds, "lang_pred string", "score double"]))
+    return rows.mapInPandas(released(run), ", ".join([*kinds, "lang_pred string", "score double"]))
 
 
 def identify(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

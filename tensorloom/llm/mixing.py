@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, sized
+from .common import WORD, cut, fresh, released, sized, text_print
 
 #: Documents rounded together, on average.
 BLOCK = 4096
@@ -108,6 +108,9 @@ def tilts(histogram: DataFrame, aims: DataFrame, cap: float = 2.0) -> DataFrame:
                 F.when(F.col("done"), F.col("low")).otherwise(F.col("low2")).alias("low"), F.when(F.col("done"), F.col("high")).otherwise(F.col("high2")).alias("high"),
             )
         )
+    else:
+        if not state.filter(~F.col("done")).isEmpty():
+            raise RuntimeError(f"a source's rates did not converge in {NEWTON_STEPS} steps")
     return state.select("source", "tilt", "scale")
 
 
@@ -138,7 +141,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     copies 0; repeated rows are mixed each on its own; an empty table gives no rows; other columns
     are not read.  Reruns give the same copies: ties are ordered by hash and id, nothing is random.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    done = _mixed(docs, id_col, text_col, source_col, weights, share, cap)
+    return done.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
+    """(id, row, source, size, source_size, target, rate, block, copies) of each row; ``row`` is its text's hash."""
+    sized = docs.select(F.col(id_col).alias("id"), text_print(F.col(text_col)).alias("row"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     sized = cut(sized)
     histogram = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
     per_source = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"), F.sum("n").alias("docs"))
@@ -160,18 +169,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rated = (
         sized.alias("d")
         .join(rates.alias("r"), F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.size") == F.col("r.z")))
-        .select("d.id", "d.source", "d.size", "source_size", "target", "rate", F.xxhash64(F.col("d.source"), F.pmod(F.xxhash64("d.id"), F.ceil(F.col("docs") / BLOCK))).alias("block"))
+        .select("d.id", "d.row", "d.source", "d.size", "source_size", "target", "rate", F.xxhash64(F.col("d.source"), F.pmod(F.xxhash64("d.id"), F.ceil(F.col("docs") / BLOCK))).alias("block"))
     )
-    sorted_ = rated.repartition("block").sortWithinPartitions("block", F.desc("size"), F.xxhash64("id"), "id")
+    sorted_ = rated.repartition("block").sortWithinPartitions("block", F.desc("size"), F.xxhash64("id"), "id", "row")
     kind = sorted_.schema["id"].dataType.simpleString()
-    done = sorted_.mapInPandas(_rounded, f"id {kind}, source string, size long, source_size long, target double, rate double, block long, copies long")
-    return done.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return sorted_.mapInPandas(released(_rounded), f"id {kind}, row long, source string, size long, source_size long, target double, rate double, block long, copies long")
+
 
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """The documents themselves, each as often as the mixture takes it; ids and columns stay.
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents themselves, each as often as the mixture takes it; ids and columns stay."""
-    copies = mix(docs, id_col=id_col, **options).select(F.col(id_col).alias("_mix_id"), F.col("copies").alias("_mix_copies"))
-    # Rows with equal ids are one key with their rounded copies shared; ids are unique in the tables given.
-    copies = copies.filter("_mix_copies > 0").groupBy("_mix_id").agg(F.max("_mix_copies").alias("_mix_copies"))
-    joined = docs.join(sized(copies), F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    return joined.withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*docs.columns)
+    Rows that share an id have each the copies that their own text and source were given; rows that
+    repeat id, text and source share theirs out among themselves, so the mixture is the one solved.
+    A null id or source is a value like others; documents without words are not taken; any column
+    names will do; an empty table gives none.
+    """
+    key, mark, origin, total, rows, place = fresh(docs, "mix_id", "mix_row", "mix_source", "mix_total", "mix_rows", "mix_place")
+    copies = _mixed(docs, id_col, text_col, source_col, weights, share, cap)
+    copies = copies.groupBy(F.col("id").alias(key), F.col("row").alias(mark), F.col("source").alias(origin)).agg(F.sum("copies").alias(total), F.count("*").alias(rows))
+    copies = sized(copies.filter(F.col(total) > 0))
+    text_row, source = text_print(F.col(text_col)), F.col(source_col).cast("string")
+    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col(key)) & (text_row == F.col(mark)) & source.eqNullSafe(F.col(origin)))
+    own = joined.filter(F.col(rows) == 1).withColumn(place, F.col(total))
+    if not copies.filter(F.col(rows) > 1).isEmpty():
+        order = F.row_number().over(Window.partitionBy(id_col, text_row, source).orderBy(F.lit(0)))
+        several = joined.filter(F.col(rows) > 1).withColumn(place, order)
+        dealt = F.floor(F.col(total) / F.col(rows)) + (F.col(place) <= F.col(total) % F.col(rows)).cast("long")
+        own = own.unionByName(several.withColumn(place, dealt))
+    own = own.filter(F.col(place) > 0)
+    return own.withColumn(place, F.explode(F.sequence(F.lit(1), F.col(place).cast("int")))).select(*docs.columns)

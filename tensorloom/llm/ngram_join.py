@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, sized, written
+from .common import cut, fresh, released, sized, text_print, written
 from .components import components
 from .shingles import fingerprint, mixed, shingle_set
 
@@ -53,7 +53,8 @@ PAIR_PREFIX = 24
 BLOCK = 1024
 #: Up to so many needed ids (8 bytes each) are sent to the scan; beyond, the texts are shuffled.
 BROADCAST_IDS = 2_000_000
-ROWS = 512
+#: Texts handled at once, and sets that a task remembers to have handed on.
+ROWS, REMEMBERED = 512, 100_000
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -91,13 +92,13 @@ def _scanned(docs: DataFrame, n: int) -> DataFrame:
             for s in sets:
                 np.add.at(counts, _slots(s), 1)
             prints = pd.array([fingerprint(s) if len(s) else None for s in sets], dtype="Int64")
-            yield pd.DataFrame({"kind": 0, "id": frame["id"], "n": [len(s) for s in sets], "print": prints, "bits": [bitmap(s) if len(s) else None for s in sets], "counts": None})
+            yield pd.DataFrame({"kind": 0, "id": frame["id"], "row": frame["row"], "n": [len(s) for s in sets], "print": prints, "bits": [bitmap(s) if len(s) else None for s in sets], "counts": None})
         at = np.flatnonzero(counts.reshape(-1, ROW_SLOTS).any(axis=1))
         for lot in range(0, len(at), 64):
             part = at[lot : lot + 64]
-            yield pd.DataFrame({"kind": 1, "id": part, "n": 0, "print": pd.array([None] * len(part), dtype="Int64"), "bits": None, "counts": [counts[i * ROW_SLOTS : (i + 1) * ROW_SLOTS].tobytes() for i in part]})
+            yield pd.DataFrame({"kind": 1, "id": part, "row": 0, "n": 0, "print": pd.array([None] * len(part), dtype="Int64"), "bits": None, "counts": [counts[i * ROW_SLOTS : (i + 1) * ROW_SLOTS].tobytes() for i in part]})
 
-    return docs.mapInPandas(run, "kind int, id long, n long, print long, bits binary, counts binary")
+    return docs.mapInPandas(released(run), "kind int, id long, row long, n long, print long, bits binary, counts binary")
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -145,18 +146,22 @@ def index_keys(tokens: np.ndarray, counts: np.ndarray, limit: float, num: int, d
 
 
 def _keys(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """(key, v, size, central): index keys of every set; equal sets give equal rows."""
+    """(key, v, size, central): index keys of every set; of equal sets a task hands on one, as long as it remembers it."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)  # SLOTS numbers
     limit = max(64.0, FREQUENT * float(sketch.mean()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: set[int] = set()
         for whole in frames:
             for at in range(0, len(whole), ROWS):
                 keys, prints, sizes, central = [], [], [], []
+                if len(met) > REMEMBERED:
+                    met.clear()
                 for text in whole["text"].iloc[at : at + ROWS]:
                     s = shingle_set(text, n)
-                    if not len(s):
+                    if not len(s) or fingerprint(s) in met:
                         continue
+                    met.add(fingerprint(s))
                     counts = sent.value[_slots(s)]
                     keys.append(index_keys(s, counts, limit, num, den))
                     prints.append(fingerprint(s))
@@ -166,7 +171,7 @@ def _keys(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray) -> Da
                 if keys:
                     yield pd.DataFrame({"key": np.concatenate(keys), "v": np.repeat(np.array(prints), n_keys), "size": np.repeat(np.array(sizes, np.int32), n_keys), "central": np.repeat(np.array(central, np.float32), n_keys)})
 
-    return docs.select("text").mapInPandas(run, "key long, v long, size int, central float")
+    return docs.select("text").mapInPandas(released(run), "key long, v long, size int, central float")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -182,7 +187,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         for frame in run(frames):
             yield frame[[fingerprint(np.frombuffer(t, np.uint64)) == v for v, t in zip(frame["v"], frame["tokens"], strict=True)]]
 
-    return rows.select("v", "text").mapInPandas(right, "v long, tokens binary")
+    return rows.select("v", "text").mapInPandas(released(right), "v long, tokens binary")
 
 
 def _bounded(frames: Iterator[pd.DataFrame], num: int, den: int) -> Iterator[pd.DataFrame]:
@@ -350,10 +355,10 @@ def _links(pairs: DataFrame, bits: DataFrame, sets_of: Callable[[DataFrame], Dat
 
     ``bits`` has (x, n, bits) of every vertex, ``sets_of`` gives (x, tokens) of the vertices (v) asked for.
     """
-    bounds = written(_beside_pivot(pairs, bits).select("p", "member", "x", "n", "bits").mapInPandas(lambda f: _bounded(f, num, den), "p long, x long, far double, maybe boolean"))
+    bounds = written(_beside_pivot(pairs, bits).select("p", "member", "x", "n", "bits").mapInPandas(released(lambda f: _bounded(f, num, den)), "p long, x long, far double, maybe boolean"))
     maybe = bounds.filter("maybe").select("p", "x")
     near = maybe.select(F.col("p").alias("v")).unionByName(maybe.select(F.col("x").alias("v"))).distinct()
-    exact = _beside_pivot(maybe, sets_of(near)).select("p", "member", "x", "tokens").mapInPandas(_with_pivot, "p long, x long, n_p long, n_x long, shared long")
+    exact = _beside_pivot(maybe, sets_of(near)).select("p", "member", "x", "tokens").mapInPandas(released(_with_pivot), "p long, x long, n_p long, n_x long, shared long")
     union = F.col("n_p") + F.col("n_x") - F.col("shared")
     exact = exact.select("p", "x", (1 - F.col("shared") / union).alias("exact"), (den * F.col("shared") >= num * union).alias("linked"))
     compared = bounds.join(exact, ["p", "x"], "left").select("p", "x", F.coalesce("exact", "far").alias("far"), F.coalesce("exact", F.lit(1.0)).alias("most"), F.coalesce("linked", F.lit(False)).alias("linked"))
@@ -376,9 +381,9 @@ def _links(pairs: DataFrame, bits: DataFrame, sets_of: Callable[[DataFrame], Dat
     right = blocks.withColumnRenamed("block", "s").join(near.filter("not alone"), ["p", "linked", "s"]).select("pair", "alone", F.lit(True).alias("streamed"), "x")
     order = ["pair", "alone", "streamed", "x"]
     across = left.unionByName(right).join(bits, "x").repartition("pair").sortWithinPartitions("pair", "streamed", "x").select(*order, "n", "bits")
-    open_ = written(across.mapInPandas(lambda f: _candidates(f, num, den), "pair long, alone boolean, streamed boolean, x long"))
+    open_ = written(across.mapInPandas(released(lambda f: _candidates(f, num, den)), "pair long, alone boolean, streamed boolean, x long"))
     both = open_.join(sets_of(open_.select(F.col("x").alias("v")).distinct()), "x").repartition("pair").sortWithinPartitions("pair", "streamed", "x")
-    found = both.select(*order, "tokens").mapInPandas(lambda f: _blocks(f, num, den), "a long, b long")
+    found = both.select(*order, "tokens").mapInPandas(released(lambda f: _blocks(f, num, den)), "a long, b long")
     return star.unionByName(found)
 
 
@@ -408,9 +413,15 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     text; a null id is never a component's name unless all its members' are null; an empty table
     gives no rows; other columns aren't read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = _joined(docs, n, num, den, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _joined(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, n, root, component_id) of each row; ``row`` is its text's hash, ``root`` names the component (null without words)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), text_print(F.col(text_col).cast("string")).alias("row"))
     scanned = written(_scanned(rows, n))
-    sets_of = scanned.filter("kind = 0").select("id", "n", F.col("print").alias("v"))
+    sets_of = scanned.filter("kind = 0").select("id", "row", "n", F.col("print").alias("v"))
     sketch = _sketch(scanned.filter("kind = 1"))
     keys = _keys(rows, n, num, den, sketch)
     pairs = written(_groups(keys, num, den))
@@ -426,22 +437,29 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str
     named = least.withColumnRenamed("id", "least")
     rooted = named.join(roots, "v", "left").select("v", F.coalesce("root", "v").alias("root"), "least")
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = cut(rooted.join(names, "root").select("v", "component_id"))
-    found = sets_of.join(by_set, "v", "left")
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("v").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    by_set = sized(rooted.join(names, "root").select("v", "root", "component_id"))
+    return sets_of.join(by_set, "v", "left").select("id", "row", "n", "root", "component_id")
 
 
 def keep_first(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the smallest id of their component; all columns stay.
+    """Of each component of texts, the row with the smallest id; all columns stay.
 
-    Rows that repeat an id with the same set are one document: one of them stays.  Rows without an
-    id or without words stay.
+    Different texts of one id are judged each on its own; where several of a component have its smallest
+    id, the one of least hash stays.  Rows that repeat an id and its text are one document: one of them
+    stays.  Rows without an id or without words stay; any column names will do; an empty table gives
+    none.
     """
-    found = join(docs, n, num, den, id_col, text_col)
-    later = found.filter((F.col("component_id") != F.col(id_col)) & F.col("n_shingles").isNotNull()).select(F.col(id_col).alias("_later")).distinct()
-    kept = docs.join(sized(later), F.col(id_col) == F.col("_later"), "left_anti")
-    ids = found.filter((F.col("n_shingles") > 0) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("c")).filter("c > 1")
-    if ids.isEmpty():
+    found = written(_joined(docs, n, num, den, id_col, text_col).filter("id is not null and n > 0").select("id", "row", "root"))
+    first = found.groupBy("root").agg(F.min(F.struct("id", "row")).alias("first"))
+    later = found.join(first, "root").filter(F.struct("id", "row") != F.col("first")).select("id", "row").distinct()
+    key, mark, place = fresh(docs, "later_id", "later_row", "place")
+    named = [F.col("id").alias(key), F.col("row").alias(mark)]
+    text_row = text_print(F.col(text_col).cast("string"))
+    same = (F.col(id_col).cast("long") == F.col(key)) & (text_row == F.col(mark))
+    kept = docs.join(sized(later.select(*named)), same, "left_anti")
+    again = sized(found.groupBy("id", "row").agg(F.count("*").alias("c")).filter("c > 1").select(*named))
+    if again.isEmpty():
         return kept
-    again = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
-    return kept.withColumn("_again", F.row_number().over(again)).filter((F.col("_again") == 1) | F.col(id_col).isNull()).drop("_again")
+    order = Window.partitionBy(F.col(id_col), text_row).orderBy(F.lit(0))
+    one = kept.join(again, same, "left_semi").withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1).drop(place)
+    return kept.join(again, same, "left_anti").unionByName(one)

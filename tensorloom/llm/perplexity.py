@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, sized, written
+from .common import cut, fresh, released, sized, text_print, written
 
 ORDER = 4
 #: Weights sent to tasks, at most: 16 bytes each there, about four times that while they are built.
@@ -51,7 +51,7 @@ CLASSES = range(2, 13)
 BIN = 0.001
 START, END = "\x02", "\x03"
 #: Characters handled at once, and n-grams held per task before they are handed on.
-LOT_CHARS, HELD = 1_000_000, 2_000_000
+LOT_CHARS, HELD = 1_000_000, 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = re.compile(r"\s+")
 
@@ -89,7 +89,7 @@ def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(g, c): n-grams of the highest order in column ``text``, counted in tasks, then by shard."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
+        held, size = [], 0
         for lot in _lots((padded(t, order),) for f in frames for t in f["text"]):
             codes = _codes([r[0] for r in lot])
             ends = np.cumsum([len(r[0]) for r in lot])
@@ -97,20 +97,29 @@ def ngram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
             for k in range(1, order):  # windows that would run over two texts
                 ok[np.minimum(ends - k, len(codes) - 1)] = False
             ok = ok[: len(codes) - order + 1]
-            _, first, n = np.unique(_hashes(codes, order)[ok], return_index=True, return_counts=True)
+            hashes, first, n = np.unique(_hashes(codes, order)[ok], return_index=True, return_counts=True)
             at = np.flatnonzero(ok)[first]
-            grams = (codes[at[:, None] + np.arange(order)] - np.uint64(1)).astype(np.uint32)
-            for g, c in zip(grams, n.tolist(), strict=True):
-                held[g.tobytes()] += c
-            if len(held) > HELD:
-                yield flushed(held)
-                held = Counter()
-        yield flushed(held)
+            held.append((hashes, (codes[at[:, None] + np.arange(order)] - np.uint64(1)).astype(np.uint32), n))
+            size += len(n)
+            if size > HELD:
+                held = [combined(held)]
+                size = len(held[0][2])
+                if size > HELD // 2:
+                    yield flushed(*held[0])
+                    held, size = [], 0
+        if held:
+            yield flushed(*combined(held))
 
-    def flushed(held: Counter) -> pd.DataFrame:
-        return pd.DataFrame({"g": pd.Series([k.decode("utf-32-le", "replace") for k in held], dtype=object), "c": pd.Series(list(held.values()), dtype="int64")})
+    def combined(held: list[tuple]) -> tuple:
+        hashes, first, at = np.unique(np.concatenate([h for h, _, _ in held]), return_index=True, return_inverse=True)
+        n = np.bincount(at, np.concatenate([n for _, _, n in held]), len(hashes)).astype(np.int64)
+        return hashes, np.concatenate([g for _, g, _ in held])[first], n
 
-    return texts.select("text").mapInPandas(run, "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    def flushed(_: np.ndarray, grams: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+        flat = grams.tobytes().decode("utf-32-le", "replace")
+        return pd.DataFrame({"g": pd.Series([flat[i : i + order] for i in range(0, len(flat), order)], dtype=object), "c": n})
+
+    return texts.select("text").mapInPandas(released(run), "g string, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def _discount(a: str) -> Column:
@@ -241,7 +250,7 @@ def _score_broadcast(docs: DataFrame, weights: DataFrame, unknown: float, keep:
             yield frame[keep].assign(n_chars=[len(t) - order + 1 for t in texts], logp=np.concatenate(sums) if sums else np.zeros(0))
 
     kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep]
-    return docs.select(*keep, "text").mapInPandas(run, ", ".join([*kinds, "n_chars long, logp double"]))
+    return docs.select(*keep, "text").mapInPandas(released(run), ", ".join([*kinds, "n_chars long, logp double"]))
 
 
 def _score_shuffled(docs: DataFrame, weights: DataFrame, unknown: float, keep: list[str], order: int) -> DataFrame:
@@ -258,7 +267,7 @@ def _score_shuffled(docs: DataFrame, weights: DataFrame, unknown: float, keep: l
                 yield pd.DataFrame(rows, columns=["_row", "g", "n"], dtype=object).astype({"_row": "int64", "n": "int64"})
 
     numbered = written(docs.select(*keep, "text").withColumn("_row", F.monotonically_increasing_id()))
-    grams = numbered.select("_row", "text").mapInPandas(run, "_row long, g string, n long")
+    grams = numbered.select("_row", "text").mapInPandas(released(run), "_row long, g string, n long")
     missing = F.when((F.length("g") == 1) & (F.col("g") != START), F.lit(unknown)).otherwise(0.0)
     weight = F.coalesce(F.col("weight").cast("float").cast("double"), missing)
     predicted = F.when((F.length("g") == 1) & (F.col("g") != START), F.col("n")).otherwise(0)
@@ -327,16 +336,22 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     texts get equal scores, repeated rows stay repeated, repeated labels count once; empty tables
     work (the model is then uniform); other columns aren't read.
     """
+    out = _classified(docs, labels, id_col, text_col, lang_col, order, quantile, broadcast_rows)
+    return out.select(F.col("_id").alias(id_col), "lang", "n_chars", "perplexity", "threshold", "kept")
+
+
+def _classified(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, order: int, quantile: float, broadcast_rows: int) -> DataFrame:
+    """(_id, row, lang, n_chars, perplexity, threshold, kept); ``row`` is the text's hash."""
     fold = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS, F.lit(0))
     trusted = labels.groupBy(F.col(id_col).alias("_id")).agg(F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("q"), F.max(F.coalesce(F.col("toxic"), F.lit(0))).alias("t")).filter("q = 1 and t = 0").select("_id")
     trusted = sized(trusted)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), fold.alias("fold"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), fold.alias("fold"), text_print(F.col(text_col)).alias("row"))
     training = rows.filter("fold != 0").join(trusted, "_id", "left_semi")
     counts = written(ngram_counts(training, order))
     weights, unknown = kneser_ney(counts, order)
     ends = written(stretches(rows.filter("fold = 0").join(trusted, "_id", "left_semi")))
     every = rows.withColumn("class", F.lit(None).cast("int")).unionByName(ends)
-    every = written(score(every, weights, unknown, ["_id", "lang", "fold", "class"], order, broadcast_rows))
+    every = written(score(every, weights, unknown, ["_id", "row", "lang", "fold", "class"], order, broadcast_rows))
     scored = every.filter("class is null").drop("class")
     held = scored.filter("fold = 0").join(trusted, "_id", "left_semi").withColumn("class", length_class(F.col("n_chars")))
     own, pooled = limits(held.unionByName(every.filter("class is not null")), quantile)
@@ -349,12 +364,20 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     limit = F.coalesce(F.get(F.reverse(shorter), F.lit(0))["limit"], F.get("limits", F.lit(0))["limit"])
     out = out.withColumn("limit", limit).withColumn("bin", F.ceil(-F.col("logp") / F.col("n_chars") / BIN))
     return out.select(
-        F.col("_id").alias(id_col), "lang", "n_chars", F.exp(-F.col("logp") / F.col("n_chars")).alias("perplexity"),
+        "_id", "row", "lang", "n_chars", F.exp(-F.col("logp") / F.col("n_chars")).alias("perplexity"),
         F.exp(F.col("limit") * BIN).alias("threshold"), F.coalesce(F.col("bin") <= F.col("limit"), F.lit(True)).alias("kept"),
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that :func:`classify` keeps, with all their columns; rows without an id stay."""
-    bad = classify(docs, labels, id_col, **options).filter("not kept").select(F.col(id_col).alias("_bad")).dropna().distinct()
-    return docs.join(sized(bad), F.col(id_col) == F.col("_bad"), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, quantile: float = QUANTILE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The documents that :func:`classify` keeps, with all their columns.
+
+    Each row is judged by its own text and language, whatever other rows have its id; rows without an
+    id or with a null or empty text are judged alike (an id only says what is trusted); any column
+    names will do; an empty table gives none.
+    """
+    judged = _classified(docs, labels, id_col, text_col, lang_col, order, quantile, broadcast_rows)
+    key, mark, tongue = fresh(docs, "bad_id", "bad_row", "bad_lang")
+    bad = judged.filter("not kept").select(F.col("_id").alias(key), F.col("row").alias(mark), F.col("lang").alias(tongue)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (text_print(F.col(text_col)) == F.col(mark)) & F.col(lang_col).cast("string").eqNullSafe(F.col(tongue))
+    return docs.join(sized(bad), same, "left_anti")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 SPACE = "▁"
 CACHE_WORDS = 200_000
 
@@ -236,7 +238,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(run), f"id {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string").withColumnRenamed("id", id_col)
 
 
 def _lists(rows: list, sizes: list[int]) -> pa.ListArray:
