@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released
+from .common import bounded_batches, released
 
 SPACE = "▁"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 class CharMap:
@@ -107,7 +108,7 @@ class PieceCodec:
         )
         self.lengths = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in model.pieces], np.int32)
         self.fixed_lengths = self.by_word  # an unknown piece may have any length; byte fallback leaves none
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, array] = {}
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def normalize(self, text: str) -> tuple[bytes, np.ndarray]:
@@ -174,15 +175,16 @@ class PieceCodec:
         """Ids, and each piece's first and last (exclusive) byte in the text; no end id."""
         norm, source = self.normalize(text)
         if self.by_word:
-            ids: list[int] = []
+            packed = array("i")  # four bytes an id, in the table of words as well
             known = self.words
             for word in self.chunk.findall(norm.decode()):
                 got = known.get(word)
                 if got is None:
                     if len(known) >= CACHE_WORDS:
                         known.clear()
-                    got = known[word] = self.splitter.encode(word)
-                ids += got
+                    got = known[word] = array("i", self.splitter.encode(word))
+                packed += got
+            ids = packed.tolist()
             ends = np.cumsum(self.lengths[ids]) if ids else np.zeros(0, np.int64)
         else:
             parts = self.splitter.encode_as_proto(norm.decode()).pieces
@@ -205,7 +207,7 @@ def codec(model_path: str) -> PieceCodec:
 
 
 #: Texts handled at once; bounds what a task holds beside Spark's own batch.
-ROWS = 256
+ROWS = 64
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: bool = True) -> DataFrame:
@@ -236,6 +238,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                     names=["id", "ids", "begins", "ends", "decoded"],
                 )
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(released(run), f"id {kind}, ids array<int>, begins array<int>, ends array<int>, decoded string").withColumnRenamed("id", id_col)
