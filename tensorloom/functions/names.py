@@ -49,4 +49,15 @@ def layer_number(name: Column) -> Column:
 
 
 def round_up(n: Column, to: int) -> Column:
-    return F.floor((n + (to - 1)) / to) * to
+    """Next multiple of ``to``, in whole numbers throughout."""
+    return n + F.pmod(-n, F.lit(to))
+
+
+def stem(path: Column) -> Column:
+    """The file name without its last extension."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+
+
+def slug(name: Column) -> Column:
+    """Lower-case letters and digits, with one dash for all between."""
+    return F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "-"), r"^-|-$", "")

@@ -84,7 +84,7 @@ def oracle_sql() -> dict[str, str]:
         "detection": _DETECT,
         "route_planning": f"""WITH RECURSIVE {_EDGES}, {_JOBS}, nodes AS (SELECT source AS n FROM edges UNION SELECT target FROM edges),
 walk AS (SELECT n AS source, n AS target, 0.0::DOUBLE AS cost, 0 AS hops, true AS all_native, [n] AS path FROM nodes
-  UNION ALL SELECT w.source, e.target, w.cost + e.cost, hops + 1, all_native AND native, list_append(path, e.target) FROM walk w JOIN edges e ON w.target = e.source WHERE hops < 4 AND NOT list_contains(path, e.target)),
+  UNION ALL SELECT w.source, e.target, w.cost + e.cost, hops + 1, all_native AND native, list_append(path, e.target) FROM walk w JOIN edges e ON w.target = e.source WHERE NOT list_contains(path, e.target)),
 best AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY cost, hops, path DESC) = 1)
 SELECT j.source, j.target, count(*) AS jobs, max(cost) AS cost, max(hops) AS hops, bool_or(all_native) AS all_native, max(array_to_string(path, '>')) AS path
 FROM jobs j LEFT JOIN best b ON j.source = b.source AND j.target = b.target GROUP BY ALL""",

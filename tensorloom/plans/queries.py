@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from tensorloom.functions import canonical, dtypes, kernels, names, ops
 from tensorloom.operators import detect, inspect, jobs, lora, provenance, routes, validate
-from tensorloom.plans import derived
+from tensorloom.plans import derived, operator_queries
 from tensorloom.plans.derived import table
-from tensorloom.plans.oracles import oracle_sql as oracle_sql
+from tensorloom.plans.oracles import oracle_sql as _oracle_sql
 from tensorloom.sources import gguf, onnx, pytorch, safetensors, sidecars, tflite, walked
 from tensorloom.streaming import progress
 
@@ -301,4 +301,8 @@ QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in QUERIES}
+    return {q.__name__: q for q in QUERIES} | operator_queries.queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    return _oracle_sql() | operator_queries.oracle_sql()

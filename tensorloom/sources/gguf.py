@@ -1,12 +1,13 @@
 """GGUF files as tables of tensors and metadata.
 
 The header is a sequence of variable-length fields, so it is walked in Python, one file at a time;
-what leaves the walk is rows, and tensors' bytes are cut from the file by Spark.
+what leaves the walk is rows: of metadata, or of tensors with their bytes.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import struct
 from collections.abc import Iterator
 
@@ -14,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.functions.dtypes import GGML, ggml_dtype, ggml_row_size, num_elements
+from tensorloom.functions.dtypes import GGML
+from tensorloom.sources import walked
 
 # Metadata value types and their struct codes; 8 is a string, 9 an array.
 SCALARS = {0: "B", 1: "b", 2: "H", 3: "h", 4: "I", 5: "i", 6: "f", 7: "?", 10: "Q", 11: "q", 12: "d"}
@@ -68,6 +70,8 @@ def walk(data: bytes) -> Iterator[tuple]:
         yield "meta", key, json.dumps(meta[key]), None, None, None
     infos = [(w.text(), [w.one(w.count) for _ in range(w.bounded("rank"))][::-1], w.one("I"), w.one("Q")) for _ in range(tensors)]
     align = meta.get("general.alignment", 32)
+    if isinstance(align, bool) or not isinstance(align, int) or align < 1:
+        raise ValueError(f"general.alignment: {align}")
     base = -(-w.at // align) * align
     for name, shape, kind, offset in infos:
         yield "tensor", name, None, shape, kind, base + offset
@@ -81,7 +85,7 @@ def rows(files: DataFrame) -> DataFrame:
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
                     found = list(walk(bytes(content)))
-                except (ValueError, KeyError, struct.error) as e:
+                except (ValueError, KeyError, TypeError, struct.error) as e:
                     found = [("error", None, str(e), None, None, None)]
                 out = pd.DataFrame(found, columns=["row", "name", "value", "shape", "type_id", "start"], dtype=object)
                 yield out.assign(path=path, ordinal=range(len(out)))[["path", "ordinal", "row", "name", "value", "shape", "type_id", "start"]]
@@ -89,14 +93,20 @@ def rows(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, ordinal long, row string, name string, value string, shape array<bigint>, type_id int, start long")
 
 
+def _tensors(data: bytes) -> Iterator[walked.Tensor]:
+    for row, name, _, shape, kind, start in walk(data):
+        if row == "tensor":
+            dtype, elements, size = GGML.get(kind, (None, 1, None))
+            n = math.prod(shape)
+            yield name, dtype, shape, start, None if size is None or n % elements else n // elements * size, None
+
+
 def tensors(files: DataFrame) -> DataFrame:
-    """A row per tensor with its bytes; a tensor beyond the file has ``in_bounds`` false and null data."""
-    found = rows(files).filter("row = 'tensor'")
-    size = ggml_row_size(F.col("type_id"), num_elements(F.col("shape")))
-    both = found.join(files.select("path", "content"), "path")
-    inside = (F.col("start") + size <= F.octet_length("content")) & size.isNotNull()
-    data = F.when(inside, F.substring(F.col("content"), (F.col("start") + 1).cast("int"), size.cast("int")))
-    return both.select("path", "ordinal", "name", ggml_dtype(F.col("type_id")).alias("dtype"), "shape", size.alias("byte_len"), F.coalesce(inside, F.lit(False)).alias("in_bounds"), data.alias("data"))
+    """A row per tensor with its bytes; a tensor beyond the file, or of unknown type or size, has ``in_bounds`` false and null data.
+
+    Columns and broken files as in :func:`walked.tensors`.
+    """
+    return walked.tensors(files, _tensors)
 
 
 def metadata(files: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Files whose headers must be walked: the walk gives rows, Spark cuts the tensors' bytes out of the file."""
+"""Files whose headers must be walked: one pass in Python gives each tensor's row and cuts its bytes."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: name, dtype, shape, first byte in the file (or null), bytes, inline data (or null)
-Tensor = tuple[str, str, list[int], int | None, int, bytes | None]
-COLUMNS = ["name", "dtype", "shape", "start", "byte_len", "inline"]
+#: name, dtype, shape, first byte in the file (or null), bytes (null if unknown), inline data (or null)
+Tensor = tuple[str, str, list[int], int | None, int | None, bytes | None]
+COLUMNS = ["path", "ordinal", "name", "dtype", "shape", "byte_len", "in_bounds", "data", "error"]
+#: A batch is handed on when it holds so many rows or bytes.
+ROWS, BYTES = 4096, 8_000_000
 
 
 def tensors(files: DataFrame, walk: Callable[[bytes], Iterator[Tensor]]) -> DataFrame:
@@ -21,19 +22,28 @@ def tensors(files: DataFrame, walk: Callable[[bytes], Iterator[Tensor]]) -> Data
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                error = None
+                content = bytes(content) if content is not None else b""
                 try:
-                    found = list(walk(bytes(content)))
+                    found = list(walk(content))
                 except Exception as e:  # whatever a broken file makes of a walk is that file's row
-                    found, error = [(None, None, None, None, 0, None)], f"{type(e).__name__}: {e}"
-                out = pd.DataFrame(found, columns=COLUMNS, dtype=object)
-                yield out.assign(path=path, ordinal=range(len(out)), error=error)[["path", "ordinal", *COLUMNS, "error"]]
-
-    schema = "path string, ordinal long, name string, dtype string, shape array<bigint>, start long, byte_len long, inline binary, error string"
-    found = files.select("path", "content").mapInPandas(run, schema)
-    both = found.join(files.select("path", "content"), "path")
-    inside = F.col("inline").isNotNull() | (F.col("start") + F.col("byte_len") <= F.octet_length("content"))
-    data = F.coalesce("inline", F.when(inside, F.substring(F.col("content"), (F.col("start") + 1).cast("int"), F.col("byte_len").cast("int"))))
-    return both.select("path", "ordinal", "name", "dtype", "shape", "byte_len", F.coalesce(inside, F.lit(False)).alias("in_bounds"), data.alias("data"), "error")
+                    out.append((path, 0, None, None, None, None, False, None, f"{type(e).__name__}: {e}"))
+                    continue
+                for i, (name, dtype, shape, start, n, inline) in enumerate(found):
+                    inside = inline is not None or (start is not None and n is not None and 0 <= start and start + n <= len(content))
+                    data = inline if inline is not None else content[start : start + n] if inside else None
+                    out.append((path, i, name, dtype, shape, n, inside, data, None))
+                    size += len(data or b"")
+                    if len(out) >= ROWS or size >= BYTES:
+                        yield _frame(out)
+                        out, size = [], 0
+        if out:
+            yield _frame(out)
+
+    return files.select("path", "content").mapInPandas(run, "path string, ordinal long, name string, dtype string, shape array<bigint>, byte_len long, in_bounds boolean, data binary, error string")
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=COLUMNS, dtype=object).astype({"byte_len": "Int64"})
