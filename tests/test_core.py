@@ -170,12 +170,13 @@ def test_safetensors(spark):
 def test_gguf(spark):
     data = gguf.write({"general.architecture": "phi", "phi.block_count": 2, "x": 0.1, "neg": -5, "flag": True}, [("w", [2, 3], "F32", bytes(range(24))), ("q", [32], "Q4_0", bytes(18))])
     f = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(b"nope")), ("c", bytearray(data[:-10])), ("d", bytearray(b"GGUF" + struct.pack("<I", 99)))], "path string, content binary")
-    t = {(r.path, r.name): r for r in gguf.tensors(f).collect()}
+    t = {(r.path, r.name): r for r in gguf.tensors(f).filter("error is null").collect()}
     assert bytes(t["a", "w"].data) == bytes(range(24)) and t["a", "w"].shape == [2, 3] and t["a", "q"].byte_len == 18
     assert not t["c", "q"].in_bounds and set(t) == {(p, n) for p in "ac" for n in "wq"}
     m = {r.key: r.value for r in gguf.metadata(f).filter("path = 'a'").collect()}
     assert m["phi.block_count"] == "2" and m["neg"] == "-5" and float(m["x"]) == pytest.approx(0.1) and m["flag"] == "true"
     assert gguf.rows(f).filter("row = 'error'").count() == 2
+    assert {r.path for r in gguf.tensors(f).filter("error is not null").collect()} == {"b", "d"}  # broken files have a row
     v1 = b"GGUF" + struct.pack("<III", 1, 0, 0)
     assert list(gguf.walk(v1)) == []
 
