@@ -25,8 +25,8 @@ def tensors(files: DataFrame, walk: Callable[[bytes], Iterator[Tensor]]) -> Data
         out, size = [], 0
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"], strict=True):
-                content = bytes(content) if content is not None else b""
                 try:
+                    content = bytes(content)  # no content is an error as well
                     found = list(walk(content))
                 except Exception as e:  # whatever a broken file makes of a walk is that file's row
                     out.append((path, 0, None, None, None, None, False, None, f"{type(e).__name__}: {e}"))
