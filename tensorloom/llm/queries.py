@@ -97,23 +97,41 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _op2() -> str:
-    """Every segment against every template, without keys or size bounds."""
+    """Every segment and every run of lines against every template, without keys or size bounds."""
     rows, _ = licenses.prepared(licenses.TEMPLATES, licenses.THRESHOLD)
-    values = ", ".join(f"('{name}', {no}, [{', '.join(repr(p) for p in pairs)}])" for name, no, pairs, _ in rows)
+    values = ", ".join(f"('{name}', {no}, {len(licenses.words_of(licenses.TEMPLATES[name][no]))}, [{', '.join(repr(p) for p in pairs)}])" for name, no, pairs, _ in rows)
     return rf"""
-WITH t(license, no, pairs) AS (VALUES {values}),
+WITH t(license, no, size, pairs) AS (VALUES {values}),
 lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents
   UNION ALL SELECT doc_id, text, 0 FROM documents WHERE contains(text, chr(10))
-), w AS (SELECT doc_id, line, string_split(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM lines),
+), w AS MATERIALIZED (SELECT doc_id, line, list_filter(string_split(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM lines),
 b AS (SELECT doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS own FROM w WHERE len(w) > 1),
-m AS (
-  SELECT doc_id, line, license, 2 * len(list_intersect(own, pairs)) / (len(own) + len(pairs)) AS dice FROM b, t
+m AS MATERIALIZED (
+  SELECT doc_id, line, license, no, 2 * len(list_intersect(own, pairs)) / (len(own) + len(pairs)) AS dice FROM b, t
+  WHERE 2 * len(list_intersect(own, pairs)) / (len(own) + len(pairs)) >= {licenses.THRESHOLD}
 ), best AS (
-  SELECT doc_id, line, license, dice FROM m WHERE dice >= {licenses.THRESHOLD}
+  SELECT doc_id, line, license, dice FROM m
   QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, license) = 1
+), l AS MATERIALIZED (
+  SELECT doc_id, line, row_number() OVER p - 1 AS k, sum(len(w)) OVER p AS last, sum(len(w)) OVER p - len(w) AS first, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM w WHERE line > 0 AND len(w) > 0 WINDOW p AS (PARTITION BY doc_id ORDER BY line)
+), r AS (
+  SELECT x.doc_id, x.k AS i, y.k AS j, x.line AS l1, y.line AS l2, license, no, pairs, list_distinct(list_transform(range(CAST(x.first AS BIGINT) + 1, CAST(y.last AS BIGINT)), lambda i: w.w[i] || ' ' || w.w[i + 1])) AS own
+  FROM l x JOIN t ON true JOIN l y ON y.doc_id = x.doc_id AND y.k > x.k AND y.first - x.first < size AND (y.last - x.first >= size OR y.k = y.n - 1)
+  JOIN w ON w.doc_id = x.doc_id AND w.line = 0
+  WHERE y.last - x.first <= 2 * size AND NOT (x.k = 0 AND y.k = y.n - 1)
+), f AS (
+  SELECT doc_id, i, j, l1, l2, license, no, len(list_intersect(own, pairs)) AS shared, 2 * len(list_intersect(own, pairs)) / (len(own) + len(pairs)) AS dice FROM r
+), g AS (
+  SELECT * FROM f WHERE dice >= {licenses.THRESHOLD}
+    AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = f.doc_id AND m.license = f.license AND m.no = f.no AND m.line BETWEEN l1 AND l2)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, license, no ORDER BY dice DESC, i) = 1
+), h AS (
+  SELECT doc_id, license, dice FROM g WHERE NOT EXISTS (
+    SELECT 1 FROM g o WHERE o.doc_id = g.doc_id AND o.i <= g.j AND g.i <= o.j AND (-o.shared, -o.dice, o.license, o.no) < (-g.shared, -g.dice, g.license, g.no))
 )
-SELECT doc_id, license, max(dice) AS dice, count(*) AS n_segments FROM best GROUP BY ALL
+SELECT doc_id, license, max(dice) AS dice, count(*) AS n_segments FROM (SELECT doc_id, license, dice FROM best UNION ALL SELECT doc_id, license, dice FROM h) GROUP BY ALL
 """
 
 
