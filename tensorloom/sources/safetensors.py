@@ -16,6 +16,8 @@ from tensorloom.functions.dtypes import from_safetensors, to_safetensors
 
 HEADER = "map<string, struct<dtype: string, shape: array<bigint>, data_offsets: array<bigint>>>"
 SHARD_BYTES = 256 << 20
+#: Models of more bytes are dealt over several tasks by hash of the tensors' names.
+TASK_BYTES = 1 << 30
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -23,20 +25,21 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tensors(files: DataFrame, metadata_only: bool = False) -> DataFrame:
-    """A row per tensor: path, ordinal (header order by name), name, dtype, shape, byte_len, in_bounds and, unless only metadata is asked, data.
+    """A row per tensor: path, ordinal (header order by name), name, dtype, shape, byte_len, in_bounds and, unless only metadata is asked, data; last, error.
 
-    A header that isn't JSON gives no rows; a range beyond the file is kept with ``in_bounds`` false
-    and null data.
+    A file whose header isn't JSON gives one row with its ``error`` and ``in_bounds`` false; one without
+    tensors gives none; a range beyond the file is kept with ``in_bounds`` false and null data.
     """
     size = little_endian(F.col("content"), 0, 8).cast("long")
     parsed = files.withColumn("_n", size).withColumn("_h", F.from_json(F.decode(F.substring(F.col("content"), F.lit(9), F.col("_n").cast("int")), "UTF-8"), HEADER))
     entries = F.array_sort(F.filter(F.map_entries("_h"), lambda e: e["key"] != "__metadata__"))
-    rows = parsed.select("path", "content", "_n", F.posexplode(entries).alias("ordinal", "_e"))
+    broken = F.when(F.col("_h").isNull(), F.lit("no header of a SafeTensors file")).alias("error")
+    rows = parsed.select("path", "content", "_n", broken, F.posexplode_outer(entries).alias("ordinal", "_e")).filter(F.col("_e").isNotNull() | F.col("error").isNotNull())
     first, last = F.get("_e.value.data_offsets", F.lit(0)), F.get("_e.value.data_offsets", F.lit(1))
     inside = (first >= 0) & (last >= first) & (8 + F.col("_n") + last <= F.octet_length("content"))
     data = F.when(inside, F.substring(F.col("content"), (9 + F.col("_n") + first).cast("int"), (last - first).cast("int")))
-    out = ["path", "ordinal", F.col("_e.key").alias("name"), from_safetensors(F.col("_e.value.dtype")).alias("dtype"), F.col("_e.value.shape").alias("shape"), (last - first).alias("byte_len"), inside.alias("in_bounds")]
-    return rows.select(*out) if metadata_only else rows.select(*out, data.alias("data"))
+    out = ["path", "ordinal", F.col("_e.key").alias("name"), from_safetensors(F.col("_e.value.dtype")).alias("dtype"), F.col("_e.value.shape").alias("shape"), (last - first).alias("byte_len"), F.coalesce(inside, F.lit(False)).alias("in_bounds")]
+    return rows.select(*out, "error") if metadata_only else rows.select(*out, data.alias("data"), "error")
 
 
 def file_metadata(files: DataFrame) -> DataFrame:
@@ -45,21 +48,27 @@ def file_metadata(files: DataFrame) -> DataFrame:
     return files.select("path", F.explode(F.from_json(F.get_json_object(header, "$.__metadata__"), "map<string, string>")).alias("key", "value"))
 
 
-def shards(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def shards(rows: DataFrame, shard_bytes: int = SHARD_BYTES, task_bytes: int = TASK_BYTES) -> DataFrame:
     """(model_id, shard, content): files of (model_id, name, dtype, shape, data) rows, tensors by name.
 
-    A new shard begins where the running size passes a multiple of ``shard_bytes``.  Types without a
-    name in this format must have been decoded before; they fail the job.
+    A new shard begins where the running size passes a multiple of ``shard_bytes``.  A model of more
+    than ``task_bytes`` is first dealt into parts by hash of the names; its shards then count up in
+    steps of the number of parts.  Types without a name in this format must have been decoded before;
+    they fail the job.
     """
-    w = Window.partitionBy("model_id").orderBy("name")
-    dealt = rows.withColumn("_size", F.octet_length("data").cast("long"))
-    dealt = dealt.withColumn("shard", F.floor((F.sum("_size").over(w) - F.col("_size")) / shard_bytes))
-    start = F.sum("_size").over(Window.partitionBy("model_id", "shard").orderBy("name")) - F.col("_size")
+    sized = rows.withColumn("_size", F.octet_length("data").cast("long"))
+    totals = sized.groupBy(F.col("model_id").alias("_model")).agg(F.ceil(F.sum("_size") / task_bytes).alias("_parts"))
+    # there are at most as many large models as task_bytes go into all bytes
+    parted = sized.join(totals.filter(F.col("_parts") > 1), F.col("model_id").eqNullSafe(F.col("_model")), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    dealt = parted.withColumn("_part", F.pmod(F.xxhash64("name"), F.col("_parts")))
+    w = Window.partitionBy("model_id", "_part").orderBy("name")
+    dealt = dealt.withColumn("shard", F.col("_part") + F.col("_parts") * F.floor((F.sum("_size").over(w) - F.col("_size")) / shard_bytes))
+    start = F.sum("_size").over(Window.partitionBy("model_id", "_part", "shard").orderBy("name")) - F.col("_size")
     kind = F.coalesce(to_safetensors(F.col("dtype")), F.raise_error(F.concat(F.lit("decode first: "), F.col("dtype"))))
     value = F.struct(kind.alias("dtype"), F.col("shape").alias("shape"), F.array(start, start + F.col("_size")).alias("data_offsets"))
-    parts = dealt.select("model_id", "shard", F.struct("name", value.alias("value"), "data").alias("t"))
+    parts = dealt.select("model_id", "_part", "shard", F.struct("name", value.alias("value"), "data").alias("t"))
     # bounded: one shard's bytes
-    files = parts.groupBy("model_id", "shard").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    files = parts.groupBy("model_id", "_part", "shard").agg(F.sort_array(F.collect_list("t")).alias("t"))
     header = F.encode(F.to_json(F.map_from_arrays(F.transform("t", lambda t: t["name"]), F.transform("t", lambda t: t["value"]))), "UTF-8")
     length = to_little_endian(F.octet_length(header))
     body = F.aggregate("t", F.lit(b""), lambda a, t: F.concat(a, t["data"]))

@@ -156,14 +156,17 @@ def test_routes(spark):
 def test_safetensors(spark):
     rows = [("m", "b", "F32", [2], bytearray(struct.pack("<2f", 1, 2))), ("m", "é", "U8", [3], bytearray(b"\xc3\xa9\xff")), ("m", "a", "F16", [1, 1], bytearray(b"\0\x3c")), ("n", "x", "I8", [], bytearray(b"\x01"))]
     t = spark.createDataFrame(rows, "model_id string, name string, dtype string, shape array<bigint>, data binary")
-    for limit in (1 << 20, 4):
-        files = safetensors.shards(t, limit).withColumn("path", F.concat_ws("/", "model_id", F.col("shard").cast("string")))
+    for limit, task in ((1 << 20, 1 << 30), (4, 1 << 30), (4, 5), (1 << 20, 5)):
+        files = safetensors.shards(t, limit, task).withColumn("path", F.concat_ws("/", "model_id", F.col("shard").cast("string")))
         back = {(r.path[0], r.name): (r.dtype, r.shape, bytes(r.data)) for r in safetensors.tensors(files).collect()}
         assert back == {(r[0], r[1]): (r[2], r[3], bytes(r[4])) for r in rows}
     bad = ST(b'{"t":{"dtype":"F32","shape":[10000],"data_offsets":[0,40000]},"__metadata__":{"k":"v"}}') + b"1234"
     f = spark.createDataFrame([("p", bytearray(bad)), ("q", bytearray(b"\x02" + b"\0" * 7 + b"xx")), ("r", bytearray(b"")), ("s", None)], "path string, content binary")
     got = safetensors.tensors(f).collect()
-    assert [(r.name, r.in_bounds, r.data) for r in got] == [("t", False, None)]
+    assert {(r.path, r.name, r.in_bounds, r.data) for r in got if r.error is None} == {("p", "t", False, None)} and len(got) == 4
+    assert {r.path for r in got if r.error and not r.in_bounds} == {"q", "r", "s"}  # broken files have a row
+    none = spark.createDataFrame([("e", bytearray(ST(b"{}")))], "path string, content binary")
+    assert not safetensors.tensors(none).collect()
     assert [(r.key, r.value) for r in safetensors.file_metadata(f).collect()] == [("k", "v")]
 
 
