@@ -1,3 +1,4 @@
+import hashlib
 import math
 import struct
 
@@ -210,6 +211,12 @@ def test_provenance(spark):
     assert {r.model_id: r.valid for r in provenance.verify(chain, F.col("content")).collect()} == {1: True, 2: True}
     edited = F.when((F.col("model_id") == 2) & (F.col("seq") == 2), "other").otherwise(F.col("content"))
     assert {r.model_id: r.valid for r in provenance.verify(chain, edited).collect()} == {1: True, 2: False}
+    none = provenance.append(spark.createDataFrame([(1, 0, "a"), (1, 1, None), (1, 2, "b"), (None, 0, "c")], e.schema), provenance.root_hash(F.lit(1), F.lit("p")), F.col("content"))
+    assert {r.seq: r.chain_hash is None for r in none.collect()} == {0: False, 1: True, 2: True}
+    last = hashlib.sha256(b"ROOT_1_p").hexdigest()
+    for i in range(4):
+        last = hashlib.sha256((last + hashlib.sha256(f"step 1 {i}".encode()).hexdigest()).encode()).hexdigest()
+        assert chain.filter(f"model_id = 1 and seq = {i}").first().chain_hash == last
 
 
 def test_names(spark):
