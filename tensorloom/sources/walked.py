@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tensorloom.shared import bounded_batches
+
 #: name, dtype, shape, first byte in the file (or null), bytes (null if unknown), inline data (or null)
 Tensor = tuple[str, str, list[int], int | None, int | None, bytes | None]
 COLUMNS = ["path", "ordinal", "name", "dtype", "shape", "byte_len", "in_bounds", "data", "error"]
@@ -42,6 +44,7 @@ def tensors(files: DataFrame, walk: Callable[[bytes], Iterator[Tensor]]) -> Data
         if out:
             yield _frame(out)
 
+    bounded_batches(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, "path string, ordinal long, name string, dtype string, shape array<bigint>, byte_len long, in_bounds boolean, data binary, error string")
 
 
