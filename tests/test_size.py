@@ -1,5 +1,6 @@
 """What bounds memory and work where cells or files are large."""
 
+import time
 import tracemalloc
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tensorloom import shared
 from tensorloom.functions import kernels
-from tensorloom.sources import walked
+from tensorloom.sources import safetensors, walked
 
 
 @pytest.mark.parametrize("bound", [lambda df: kernels.dequantize(F.lit("F32"), F.col("content")), lambda df: walked.tensors(df, lambda _: [])], ids=["dequantize", "walked"])
@@ -41,3 +42,19 @@ def test_decoding_needs_little_more_than_its_result(name):
     assert peak < values.nbytes + 100 * kernels.LOT_BYTES
     with np.errstate(all="ignore"):
         assert values.tobytes() == kernel(np.frombuffer(data, np.uint8).reshape(-1, size)).tobytes()
+
+
+def test_a_file_of_many_tensors_is_not_copied_for_each_of_them(spark):
+    t = spark.range(0, 12_000, 1, 1).select(F.lit("m").alias("model_id"), F.col("id").cast("string").alias("name"), F.lit("U8").alias("dtype"), F.array(F.lit(1000).cast("long")).alias("shape"), F.rpad(F.col("id").cast("string"), 1000, "x").cast("binary").alias("data"))
+    began = time.monotonic()
+    files = safetensors.shards(t).withColumn("path", F.lit("p"))
+    wrong = safetensors.tensors(files).filter((F.col("data") != F.rpad("name", 1000, "x").cast("binary")) | ~F.col("in_bounds"))
+    assert files.count() == 1 and wrong.count() == 0 and safetensors.tensors(files).count() == 12_000
+    assert time.monotonic() - began < 40  # 12 MB; a copy of the file for each tensor and step would be 144 GB each
+
+
+@pytest.mark.parametrize("rows", [[("m", "a", b"1"), ("m", "a", b"1")], [("m", "a", None)], [("m", None, b"1")]], ids=["twice", "no data", "no name"])
+def test_tensors_that_fit_in_no_file_fail_the_job(spark, rows):
+    t = spark.createDataFrame(rows, "model_id string, name string, data binary").select("model_id", "name", F.lit("U8").alias("dtype"), F.array(F.lit(1).cast("long")).alias("shape"), "data")
+    with pytest.raises(Exception, match=r"several tensors|has no"):
+        safetensors.shards(t).collect()
