@@ -37,6 +37,11 @@ def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, where lambdas in it would compute it for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 # --- pointwise ----------------------------------------------------------------------------------
 def erf(x: Column) -> Column:
     """Error function by the five-term rational approximation of Hastings; within 1.5e-7."""
@@ -228,15 +233,17 @@ def _normal(x: Column, mean: Column, variance: Column, eps: float) -> Column:
     return F.transform(x, lambda v: (v.cast("double") - mean) / F.sqrt(variance + eps))
 
 
-def _moments(x: Column) -> tuple[Column, Column]:
-    mean = total(x) / F.size(x)
-    return mean, total(F.transform(x, lambda v: (v.cast("double") - mean) * (v.cast("double") - mean))) / F.size(x)
-
-
 def group_norm(x: Column, n: int, groups: int, eps: float = 1e-5) -> Column:
     """Each of ``groups`` equal stretches of n values gets mean 0 and variance 1."""
+    def normal(part: Column) -> Column:
+        def of(mean: Column) -> Column:
+            variance = total(F.transform(part, lambda v: (v.cast("double") - mean) * (v.cast("double") - mean))) / F.size(part)
+            return let(variance, lambda var: _normal(part, mean, var, eps))
+
+        return let(total(part) / F.size(part), of)
+
     each = by_place(groups, lambda g: F.slice(x, g * (n // groups) + 1, F.lit(n // groups)))
-    return F.flatten(F.transform(each, lambda part: _normal(part, *_moments(part), eps)))
+    return F.flatten(F.transform(each, normal))
 
 
 def instance_norm(x: Column, n: int, channels: int, eps: float = 1e-5) -> Column:
@@ -309,7 +316,11 @@ def mixture_of_experts(x: Column, gate: Column, experts: Column, k: int = 2) ->
     ``gate`` has a row of weights for each expert, ``experts`` a scale and a shift for each.
     """
     scored = F.transform(gate, lambda row, e: F.struct((-dot(x, row)).alias("s"), e.alias("e")))
-    best = F.slice(F.array_sort(scored), 1, k)
-    top = -best[0]["s"]
-    total_ = F.aggregate(best, F.lit(0.0), lambda a, b: a + F.exp(-b["s"] - top))
-    return F.transform(x, lambda v: F.aggregate(best, F.lit(0.0), lambda a, b: a + F.exp(-b["s"] - top) / total_ * (v.cast("double") * experts[b["e"]]["scale"] + experts[b["e"]]["shift"])))
+
+    def mixed(best: Column) -> Column:
+        raised = F.transform(best, lambda b: F.exp(-b["s"] + best[0]["s"]))
+        sum_ = F.aggregate(raised, F.lit(0.0), lambda a, r: a + r)
+        weights = F.zip_with(raised, best, lambda r, b: F.struct((r / sum_).alias("p"), experts[b["e"]]["scale"].alias("scale"), experts[b["e"]]["shift"].alias("shift")))
+        return let(weights, lambda w: F.transform(x, lambda v: F.aggregate(w, F.lit(0.0), lambda a, b: a + b["p"] * (v.cast("double") * b["scale"] + b["shift"]))))
+
+    return let(F.slice(F.array_sort(scored), 1, k), mixed)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tensorloom import shared
-from tensorloom.functions import kernels
+from tensorloom.functions import kernels, tensor_ops
 from tensorloom.sources import safetensors, walked
 
 
@@ -58,3 +58,14 @@ def test_tensors_that_fit_in_no_file_fail_the_job(spark, rows):
     t = spark.createDataFrame(rows, "model_id string, name string, data binary").select("model_id", "name", F.lit("U8").alias("dtype"), F.array(F.lit(1).cast("long")).alias("shape"), "data")
     with pytest.raises(Exception, match=r"several tensors|has no"):
         safetensors.shards(t).collect()
+
+
+def test_what_all_elements_share_is_computed_once(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 4.0, 8.0], [[1.0] * 4, [2.0] * 4])], "x array<double>, w array<array<double>>")
+    experts = F.array(*[F.struct(F.lit(1.0).alias("scale"), F.lit(0.5).alias("shift"))] * 2)
+
+    def plan(value):
+        return df.select(value.alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+
+    assert plan(tensor_ops.mixture_of_experts(F.col("x"), F.col("w"), experts)).count("array_sort(") == 1
+    assert plan(tensor_ops.group_norm(F.col("x"), 4, 2)).count("aggregate(") == 2  # a mean and a variance
