@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tensorloom.functions import canonical, dtypes, kernels, names, ops
 from tensorloom.functions.binary import little_endian, to_little_endian
 from tensorloom.operators import detect, jobs, lora, provenance, routes, validate
+from tensorloom.plans import queries
 from tensorloom.sources import gguf, onnx, pytorch, safetensors, tflite, walked
 from tensorloom.streaming import progress
 
@@ -282,6 +283,23 @@ def test_walked_formats(spark, module):
     assert got["b", None].error and got["c", None].error
 
 
+@pytest.mark.parametrize("module", [onnx, pytorch, tflite])
+def test_tensors_without_elements_are_kept(module):
+    entries = [("w", [0], "U8", b""), ("v", [1, 0], "I8", b""), ("b", [2], "U8", b"ab")]
+    assert sorted((f[0], f[1], f[2], f[4]) for f in module.walk(module.write(entries))) == sorted((n, d, s, len(x)) for n, s, d, x in entries)
+
+
+def test_tflite_tensors_whose_data_comes_at_run_time_are_none():
+    assert [f[0] for f in tflite.walk(tflite.write([("x", [2], "U8", b""), ("s", [], "F32", b""), ("b", [1], "U8", b"a")]))] == ["b"]
+
+
+def test_tflite_query_keeps_empty_texts(spark, tmp_path):
+    rows = [(1, "a", ""), (2, "a", None), (3, None, "é")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.tflite_round_trip(spark, str(tmp_path)).collect()
+    assert sorted((r.path, r.dtype, r["rank"], r.byte_len, r.in_bounds, r.error) for r in got) == [(f"doc.{i}", t, n, 2 * (i == 3), True, None) for i in (1, 2, 3) for t, n in (("I8", 2), ("U8", 1))]
+
+
 def test_onnx_typed_fields():
     t = onnx._field(1, 2) + onnx._field(2, 1) + onnx._field(8, b"x") + onnx._field(4, struct.pack("<2f", 1, 2))
     u = onnx._field(2, 3) + onnx._field(8, b"y") + onnx._field(5, b"\x01\xff\x01")
